@@ -50,7 +50,6 @@ from callsheet.schemas import CASCADE, SET_NULL, ForeignKey, TableRules
 from callsheet.session import materialise, shared_folder
 from callsheet.sources import (
     append_rows,
-    literal_rows,
     read_table,
     replace_table,
     speaker_words,
@@ -121,14 +120,15 @@ def _order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts: the priorities with order count and revenue in cents."""
+    """Parts: the priorities with order count and revenue in cents, as a stored table."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    return (
+    parts = (
         _table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderpriority").alias("part_id"))
         .agg(F.count("*").alias("words_total"), F.sum(cents).alias("money"))
         .withColumn("name", F.col("part_id"))
     )
+    return materialise(parts, "priorities")
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,7 @@ def _run_id(spark: SparkSession) -> str:
     return spark.sql("SELECT uuid()").first()[0]
 
 
-ROLE_IDS = [("USER", 0), ("ASSISTANT", 1), ("SYSTEM", 1)]
+ROLE_IDS = {"USER": 0, "ASSISTANT": 1, "SYSTEM": 1}
 
 
 def _transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,8 +201,7 @@ def _transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = literal_rows(spark, ROLE_IDS, StructType.fromDDL("alias STRING, entity_id INT"))
-    turns = to_turns(_transcript(spark, sf_dir), aliases, part_map={1: 4, 2: 5})
+    turns = to_turns(_transcript(spark, sf_dir), ROLE_IDS, part_map={1: 4, 2: 5})
     return turns.select(
         "conv_id",
         "turn",
@@ -348,14 +347,14 @@ def most_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_totals_with_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_totals(
-        _flow(spark, sf_dir), words="qty", turn="l_orderkey", text="l_orderkey"
+        _flow(spark, sf_dir), words="qty", turn="l_orderkey", text=None
     )
 
 
 def pair_totals_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _flow_with_open_targets(spark, sf_dir)
     return pair_totals(
-        turns, _nations(spark, sf_dir), words="qty", turn="l_orderkey", text="l_orderkey"
+        turns, _nations(spark, sf_dir), words="qty", turn="l_orderkey", text=None
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsheet.schemas import CASCADE, REFUSE, SET_NULL, ForeignKey
+from callsheet.session import materialise
 
 
 class DeleteRefused(ValueError):
@@ -24,39 +25,35 @@ def delete_rows(
 
     Cascading references lose their rows, level by level; set-null references
     lose the value. After that no remaining row may refer to a deleted one over
-    a refusing reference: that check is the only job run here.
+    a refusing reference.
+
+    The deleted keys are written first, so that each child's join is planned
+    with their true size; the tables themselves are not written.
     """
     links = list(foreign_keys)
     after = dict(tables)
     after[table] = tables[table].where(~F.coalesce(condition, F.lit(False)))
-    gone: list[tuple[str, DataFrame]] = []
+    lost: list[tuple[ForeignKey, DataFrame]] = []
     pending = [(table, tables[table].where(condition))]
     while pending:
         name, rows = pending.pop()
-        gone.append((name, rows))
-        for fk in links:
-            if fk.parent == name and fk.child in after and fk.on_delete == CASCADE:
-                keys = _keys(rows, fk.key)
-                before = after[fk.child]
-                after[fk.child] = _matching(before, fk.column, keys, "left_anti")
-                pending.append((fk.child, _matching(before, fk.column, keys, "left_semi")))
-    for name, rows in gone:
         for fk in links:
-            if fk.parent != name or fk.child not in after:
-                continue
-            keys = _keys(rows, fk.key)
-            if fk.on_delete == SET_NULL:
-                after[fk.child] = _without_reference(after[fk.child], fk.column, keys)
-            elif fk.on_delete == REFUSE:
-                if not _matching(after[fk.child], fk.column, keys, "left_semi").isEmpty():
-                    raise DeleteRefused(f"{fk.child}.{fk.column} still refers to {name}")
+            if fk.parent == name and fk.child in after:
+                keys = materialise(rows.select(F.col(fk.key).alias("_gone")).distinct(), "gone")
+                lost.append((fk, keys))
+                if fk.on_delete == CASCADE:
+                    before = after[fk.child]
+                    after[fk.child] = _matching(before, fk.column, keys, "left_anti")
+                    pending.append((fk.child, _matching(before, fk.column, keys, "left_semi")))
+    for fk, keys in lost:
+        if fk.on_delete == SET_NULL:
+            after[fk.child] = _without_reference(after[fk.child], fk.column, keys)
+        elif fk.on_delete == REFUSE:
+            if not _matching(after[fk.child], fk.column, keys, "left_semi").isEmpty():
+                raise DeleteRefused(f"{fk.child}.{fk.column} still refers to {fk.parent}")
     return after
 
 
-def _keys(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(F.col(key).alias("_gone")).distinct()
-
-
 def _matching(df: DataFrame, column: str, keys: DataFrame, how: str) -> DataFrame:
     return df.join(keys, F.col(column) == F.col("_gone"), how)
 

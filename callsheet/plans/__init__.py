@@ -9,9 +9,10 @@ from callsheet.plans.reports import (
     pair_totals,
     top_with_related,
 )
-from callsheet.plans.workload import create_views, derive, reports
+from callsheet.plans.workload import all_reports, create_views, derive
 
 __all__ = [
+    "all_reports",
     "average_share",
     "best_group",
     "create_views",
@@ -20,6 +21,5 @@ __all__ = [
     "flag_wins",
     "nth_ranked",
     "pair_totals",
-    "reports",
     "top_with_related",
 ]

@@ -4,6 +4,10 @@ The original queries leave some orders open (ties, name lists); here every tie
 is broken by a key, and each docstring says how. Column names are parameters,
 with the names of :mod:`callsheet.schemas` as defaults. Results are unsorted
 unless the sort is the report.
+
+Where a report looks up its few result rows in tables of any size, these rows
+are written first: the joins are then planned with their true size, and a large
+table is scanned next to a broadcast instead of being shuffled.
 """
 
 from __future__ import annotations
@@ -13,12 +17,13 @@ from pyspark.sql import functions as F
 
 from callsheet.functions import integer_average, joined_names, money_share
 from callsheet.operators.keys import dense_ids
+from callsheet.session import materialise
 
 MILLION = 1_000_000
 
-# Up to this rank the n best rows are kept in a heap per task; beyond it the
+# Up to this rank every task hands its n best rows to one task; beyond it the
 # rows are sorted across tasks.
-HEAP_RANKS = 10_000
+HEAP_RANKS = 100
 
 
 def top_with_related(
@@ -56,6 +61,7 @@ def top_with_related(
     tops = rollup.join(best, [part, measure]).select(
         F.col(part).alias("part_id"), F.col(entity).alias("entity_id"), F.col(measure).alias("words")
     )
+    tops = materialise(tops, "tops")
     edges = relations.where(F.col(parent).isNotNull()).select(
         F.col(child).alias("_child"), F.col(parent).alias("_parent")
     )
@@ -198,6 +204,7 @@ def extreme_share(
             F.col(measure).alias("words"),
         )
     )
+    winners = materialise(winners, "winners")
     parts = partitions.select(
         F.col(part_key).alias("_part"),
         F.col(part_name).alias("part_name"),
@@ -227,34 +234,49 @@ def pair_totals(
     target: str = "to_id",
     words: str = "word_count",
     turn: str = "id",
-    text: str = "text",
+    text: str | None = "text",
     key: str = "id",
     name: str = "name",
 ) -> DataFrame:
     """Words per undirected pair, and the text of the pair's longest turn.
 
     Self pairs count; turns without a target do not. ``hi_id`` is the larger
-    id. Both directions and the example come from one pass over the turns; of
-    equally long turns the one with the smallest id is the example. With
-    ``entities`` the names are added and pairs of unknown entities left out.
+    id. Of equally long turns the one with the smallest id is the example;
+    ``text=None`` gives that id itself. With ``entities`` the names are added
+    and pairs of unknown entities left out.
+
+    Turns are first folded per pair and length, then per pair, over numbers
+    alone. Only then are the texts of the chosen turns looked up by their id,
+    so no text is sorted, shuffled or kept for a turn that is not an example.
     """
-    shortness = F.struct(F.col(words).isNull(), -F.col(words), F.col(turn))
+    length = F.col("_length")
     pairs = (
         turns.where(F.col(source).isNotNull() & F.col(target).isNotNull())
         .groupBy(
-            F.greatest(source, target).alias("hi_id"), F.least(source, target).alias("lo_id")
+            F.greatest(source, target).alias("hi_id"),
+            F.least(source, target).alias("lo_id"),
+            F.col(words).alias("_length"),
+        )
+        .agg(F.sum(words).alias("_words"), F.min(turn).alias("_turn"))
+        .groupBy("hi_id", "lo_id")
+        .agg(
+            F.sum("_words").alias("words"),
+            F.min_by("_turn", F.struct(length.isNull(), -length)).alias("example"),
         )
-        .agg(F.sum(words).alias("words"), F.min_by(F.col(text), shortness).alias("example"))
-    )
-    if entities is None:
-        return pairs
-    hi = entities.select(F.col(key).alias("_hi"), F.col(name).alias("hi_name"))
-    lo = entities.select(F.col(key).alias("_lo"), F.col(name).alias("lo_name"))
-    return (
-        pairs.join(hi, F.col("hi_id") == F.col("_hi"))
-        .join(lo, F.col("lo_id") == F.col("_lo"))
-        .select("hi_id", "lo_id", "hi_name", "lo_name", "words", "example")
     )
+    columns = ["hi_id", "lo_id", "words", "example"]
+    if text is not None:
+        pairs = materialise(pairs.withColumnRenamed("example", "_example"), "pairs")
+        texts = turns.select(F.col(turn).alias("_turn"), F.col(text).alias("example"))
+        pairs = pairs.join(texts, F.col("_example") == F.col("_turn"))
+    if entities is not None:
+        hi = entities.select(F.col(key).alias("_hi"), F.col(name).alias("hi_name"))
+        lo = entities.select(F.col(key).alias("_lo"), F.col(name).alias("lo_name"))
+        pairs = pairs.join(hi, F.col("hi_id") == F.col("_hi")).join(
+            lo, F.col("lo_id") == F.col("_lo")
+        )
+        columns[2:2] = ["hi_name", "lo_name"]
+    return pairs.select(*columns)
 
 
 def flag_wins(

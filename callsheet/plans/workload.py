@@ -51,7 +51,7 @@ def derive(tables: Mapping[str, DataFrame], pair_mode: str = "strict") -> dict[s
     }
 
 
-def reports(
+def all_reports(
     tables: Mapping[str, DataFrame], nth_part: int | None = None, nth: int = 2
 ) -> dict[str, DataFrame]:
     """The reports over derived tables; the ninth only if a part is named."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,8 +19,14 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def literal_rows(
     spark: SparkSession, rows: Iterable[Sequence[Any]], schema: StructType
 ) -> DataFrame:
-    """A table from a few rows written in the program."""
-    return spark.createDataFrame(list(rows), schema)
+    """A table from a few rows written in the program.
+
+    They go over as an Arrow table, which Catalyst holds as a local relation of
+    known size: joins with it are broadcast, and need no Python worker.
+    """
+    rows = list(rows)
+    columns = {name: pa.array([row[i] for row in rows]) for i, name in enumerate(schema.names)}
+    return spark.createDataFrame(pa.table(columns), schema)
 
 
 def _clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:

@@ -13,8 +13,14 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from callsheet.functions import word_count
+from callsheet.sources.tables import literal_rows
+
+ALIASES = StructType(
+    [StructField("alias", StringType(), False), StructField("entity_id", IntegerType(), False)]
+)
 
 # Fixed formats of the transcript files.
 PART_IN_FILE_NAME = r"part[_-]?(\d+)[^/]*$"
@@ -57,15 +63,19 @@ def read_transcripts(
 
 
 def to_turns(
-    lines: DataFrame, aliases: DataFrame, part_map: Mapping[int, int] | None = None
+    lines: DataFrame,
+    aliases: Mapping[str, int] | DataFrame,
+    part_map: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """Replace names by ids: ``part_id, from_id, to_id, text, word_count`` + rest.
 
-    ``aliases`` holds ``alias`` (upper case, unique) and ``entity_id``; several
-    aliases may share an id. A line by an unlisted speaker is left out; an
+    ``aliases`` maps an upper-case name to an entity id, or is a table of unique
+    ``alias`` and ``entity_id``; several aliases may share an id. A line by an unlisted speaker is left out; an
     unlisted or missing addressee gives a NULL target. ``part_map`` renumbers
     the parts and leaves out the ones it does not name.
     """
+    if not isinstance(aliases, DataFrame):
+        aliases = literal_rows(lines.sparkSession, aliases.items(), ALIASES)
     part = F.col("source_part")
     if part_map is not None:
         pairs = [F.lit(n) for pair in part_map.items() for n in pair]

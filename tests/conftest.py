@@ -5,6 +5,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from tables import seed_tables  # noqa: E402
+
+from callsheet.plans import derive  # noqa: E402
 from callsheet.session import build_session  # noqa: E402
 
 
@@ -17,6 +20,12 @@ def spark(tmp_path_factory):
         spark__ui__enabled="false",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def derived(spark):
+    """The seed tables with all derived measures."""
+    return derive(seed_tables(spark))
