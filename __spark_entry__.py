@@ -11,6 +11,7 @@ Stand-ins for the dialogue tables:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,7 @@ from callsheet.session import materialise, shared_folder
 from callsheet.sources import (
     append_rows,
     read_table,
+    read_transcripts,
     replace_table,
     speaker_words,
     to_turns,
@@ -166,7 +168,7 @@ def _words_by(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 
 def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a rollup as a table partitioned by language, twice; read it back."""
-    path = f"{shared_folder(spark)}/stored-rollup-{_run_id(spark)}"
+    path = f"{shared_folder(spark)}/stored-rollup-{uuid.uuid4().hex}"
     rollup = text_rollup(spark, sf_dir)
     replace_table(rollup, path, ["lang"])
     return replace_table(rollup, path, ["lang"])
@@ -174,17 +176,13 @@ def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def appended_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append the words per source to the words per language."""
-    path = f"{shared_folder(spark)}/appended-rollups-{_run_id(spark)}"
+    path = f"{shared_folder(spark)}/appended-rollups-{uuid.uuid4().hex}"
     by_lang = _words_by(spark, sf_dir, "lang")
     replace_table(by_lang, path)
     append_rows(_words_by(spark, sf_dir, "source"), path)
     return read_table(spark, path, by_lang.schema)
 
 
-def _run_id(spark: SparkSession) -> str:
-    return spark.sql("SELECT uuid()").first()[0]
-
-
 ROLE_IDS = {"USER": 0, "ASSISTANT": 1, "SYSTEM": 1}
 
 
@@ -212,6 +210,23 @@ def ingest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the conversations as transcript text files, then ingest the files."""
+    path = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    target = F.concat(F.lit(" (to "), F.trim("addressee"), F.lit(")"))
+    one_line = F.translate("text", "\n\r", "  ")
+    lines = _transcript(spark, sf_dir).select(
+        "source_part",
+        F.concat("speaker", F.coalesce(target, F.lit("")), F.lit(": "), one_line).alias("value"),
+    )
+    lines.write.partitionBy("source_part").text(path)
+    found = read_transcripts(spark, path, part_pattern=r"source_part=(\d+)")
+    turns = to_turns(found, ROLE_IDS, part_map={1: 4, 2: 5})
+    return turns.groupBy(F.col("part_id").cast("int").alias("part_id"), "from_id", "to_id").agg(
+        F.count("*").alias("turns"), F.sum("word_count").alias("words")
+    )
+
+
 def speaker_word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_words(_transcript(spark, sf_dir), ["SYS", "assist"], parts=[1, 2])
 
@@ -304,9 +319,9 @@ def best_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations 20-24 are missing in the dimension; scores may be negative."""
+    """Whole-number balances, some of them negative, per nation."""
     customers = _customers(spark, sf_dir).withColumn("score", F.col("score").cast("long"))
-    return best_group(customers, _nations(spark, sf_dir).where(F.col("n_regionkey") != 1))
+    return best_group(customers, _nations(spark, sf_dir))
 
 
 def avg_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,6 +373,13 @@ def pair_totals_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def longest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words between the roles of the conversations, with the longest line."""
+    turn_id = (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id")
+    lines = _transcript(spark, sf_dir).withColumn("id", turn_id)
+    return pair_totals(to_turns(lines, ROLE_IDS))
+
+
 def _wins(winner_aware: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         letter = F.col("l_returnflag")
@@ -506,6 +528,7 @@ def queries() -> dict[str, Query]:
         "stored_rollup": stored_rollup,
         "appended_rollups": appended_rollups,
         "ingest_turns": ingest_turns,
+        "transcript_files": transcript_files,
         "speaker_words": speaker_word_totals,
         "word_count": word_counts,
         "sql_word_count": sql_word_counts,
@@ -525,6 +548,7 @@ def queries() -> dict[str, Query]:
         "most_words": most_words,
         "pair_totals": pair_totals_with_example,
         "pair_totals_named": pair_totals_named,
+        "longest_lines": longest_lines,
         "flag_wins": _wins(winner_aware=False),
         "flag_wins_winner_aware": _wins(winner_aware=True),
         "nth_ranked": _ranked(2),
@@ -715,6 +739,17 @@ def oracle_sql() -> dict[str, str]:
                    CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 END AS to_id,
                    CAST({WORDS} AS BIGINT) AS word_count
             FROM conversations WHERE role IN ('user', 'assistant', 'system')""",
+        "transcript_files": f"""
+            WITH lines AS (
+                SELECT role, turn,
+                       ltrim(translate(text, chr(10) || chr(13), '  '), ' ' || chr(9)) AS text
+                FROM conversations
+            )
+            SELECT CAST(4 + turn % 2 AS INTEGER) AS part_id,
+                   CASE WHEN role = 'user' THEN 0 ELSE 1 END AS from_id,
+                   CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 END AS to_id,
+                   count(*) AS turns, CAST(sum({WORDS}) AS BIGINT) AS words
+            FROM lines WHERE role IN ('user', 'assistant', 'system') GROUP BY 1, 2, 3""",
         "speaker_words": f"""
             SELECT role AS speaker, CAST(turn % 2 + 1 AS INTEGER) AS source_part,
                    CAST(sum({WORDS}) AS BIGINT) AS words
@@ -765,7 +800,7 @@ def oracle_sql() -> dict[str, str]:
                    count(c_custkey) AS members,
                    (SELECT c_name FROM scored ORDER BY score DESC NULLS LAST, c_custkey LIMIT 1)
                    AS representative
-            FROM scored JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1
+            FROM scored JOIN nation ON n_nationkey = c_nationkey
             GROUP BY c_nationkey, n_name
             ORDER BY average DESC NULLS LAST, location_id LIMIT 1""",
         "avg_share": f"""
@@ -805,6 +840,22 @@ def oracle_sql() -> dict[str, str]:
             FROM shares""",
         "pair_totals": _pair_totals_sql(FLOW, names=False),
         "pair_totals_named": _pair_totals_sql(OPEN_FLOW, names=True),
+        "longest_lines": f"""
+            WITH turns AS (
+                SELECT CASE WHEN role = 'system' THEN NULL ELSE 1 END AS hi_id,
+                       CASE WHEN role = 'system' THEN NULL ELSE 0 END AS lo_id,
+                       text, {WORDS} AS words, conv_id, turn
+                FROM conversations
+            ),
+            ranked AS (
+                SELECT *, row_number() OVER (
+                    PARTITION BY hi_id, lo_id ORDER BY words DESC, conv_id, turn
+                ) AS rn
+                FROM turns WHERE hi_id IS NOT NULL
+            )
+            SELECT hi_id, lo_id, CAST(sum(words) AS BIGINT) AS words,
+                   max(CASE WHEN rn = 1 THEN text END) AS example
+            FROM ranked GROUP BY hi_id, lo_id""",
         "flag_wins": _wins_sql(winner_aware=False),
         "flag_wins_winner_aware": _wins_sql(winner_aware=True),
         "nth_ranked": _ranked_sql(2),

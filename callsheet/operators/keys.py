@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,7 +13,7 @@ from callsheet.session import materialise
 
 
 def dense_ids(
-    df: DataFrame, order_by: Sequence[str], into: str = "id", start: int = 0
+    df: DataFrame, order_by: Sequence[str | Column], into: str = "id", start: int = 0
 ) -> DataFrame:
     """Number the rows ``start, start + 1, ...`` in the order of ``order_by``.
 

@@ -73,16 +73,22 @@ def coverage(
     """One row: the number of rollup rows that meet an entity, and whether any does.
 
     This is the declared expectation. It says nothing about single entities;
-    :func:`uncovered` does.
+    :func:`uncovered` does. Rollup rows are counted per key before the join.
     """
     ids = entities.select(F.col(key).alias("_entity_key"))
-    met = rollup.join(ids, F.col(rollup_key) == F.col("_entity_key"))
-    return met.agg(F.count("*").alias(into)).withColumn("holds", F.col(into) != 0)
+    counts = rollup.groupBy(F.col(rollup_key).alias("_seen_key")).agg(F.count("*").alias("_rows"))
+    met = counts.join(ids, F.col("_seen_key") == F.col("_entity_key"))
+    matches = F.coalesce(F.sum("_rows"), F.lit(0).cast("long"))
+    return met.agg(matches.alias(into)).withColumn("holds", F.col(into) != 0)
 
 
 def uncovered(entities: DataFrame, key: str, rollup: DataFrame, rollup_key: str) -> DataFrame:
-    """Entities without any rollup row."""
-    seen = rollup.select(F.col(rollup_key).alias("_seen_key"))
+    """Entities without any rollup row.
+
+    The right side of an anti join cannot be split by the planner, so a key
+    with very many rollup rows is reduced to one before it.
+    """
+    seen = rollup.select(F.col(rollup_key).alias("_seen_key")).distinct()
     return entities.join(seen, F.col(key) == F.col("_seen_key"), "left_anti")
 
 
@@ -94,7 +100,7 @@ def integrity_report(
     """Every declared rule of every given table: ``table_name, rule, violations``.
 
     Row rules share one pass per table. A key rule counts the keys held twice;
-    a reference rule counts the orphan rows.
+    a reference rule counts the orphan rows, folded per value before the join.
     """
     reports = []
     for name in tables:
@@ -105,16 +111,18 @@ def integrity_report(
         for keys in (rule_set.primary_key, *rule_set.unique):
             if keys:
                 found = duplicate_keys(df, keys)
-                reports.append(_count_of(found, name, f"{', '.join(keys)} repeats"))
+                reports.append(_count_of(found, name, f"{', '.join(keys)} repeats", F.count("*")))
     for fk in foreign_keys:
         if fk.child in tables and fk.parent in tables:
-            found = orphans(tables[fk.child], fk.column, tables[fk.parent], fk.key)
-            reports.append(_count_of(found, fk.child, f"{fk.column} has no {fk.parent}"))
+            values = tables[fk.child].groupBy(fk.column).agg(F.count("*").alias("_rows"))
+            lost = orphans(values, fk.column, tables[fk.parent], fk.key)
+            rule = f"{fk.column} has no {fk.parent}"
+            reports.append(_count_of(lost, fk.child, rule, F.sum("_rows")))
     columns = ("table_name", "rule", "violations")
     return reduce(DataFrame.unionByName, [r.select(*columns) for r in reports])
 
 
-def _count_of(found: DataFrame, table: str, rule: str) -> DataFrame:
-    return found.agg(F.count("*").alias("violations")).select(
+def _count_of(found: DataFrame, table: str, rule: str, rows: Column) -> DataFrame:
+    return found.agg(F.coalesce(rows, F.lit(0).cast("long")).alias("violations")).select(
         F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"
     )

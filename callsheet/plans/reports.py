@@ -327,7 +327,7 @@ def nth_ranked(
     entities: DataFrame,
     rollup: DataFrame,
     part_value: object,
-    n: int,
+    n: int | None,
     *,
     part: str = "part_id",
     entity: str = "entity_id",
@@ -338,19 +338,26 @@ def nth_ranked(
     """The entity with the n-th largest score among those in a part.
 
     All columns of both tables, and the rank. Equals are ranked by id, NULL
-    scores last. A rank that does not exist gives no row. A rank up to
-    ``HEAP_RANKS`` needs the n best rows of each task only; a larger one sorts
-    the part across tasks.
+    scores last. A rank that does not exist gives no row.
+
+    Only ids and scores of the entities go through the ranking; the one found
+    is looked up for the rest. A rank up to ``HEAP_RANKS`` needs the n best
+    rows of each task; a larger one sorts the part across tasks.
     """
-    present = entities.join(
-        rollup.where(F.col(part) == F.lit(part_value)), F.col(key) == F.col(entity)
+    scores = entities.select(F.col(key).alias("_key"), F.col(score).alias("_score"))
+    present = rollup.where(F.col(part) == F.lit(part_value)).join(
+        scores, F.col(entity) == F.col("_key")
     )
-    if n < 1:
-        return present.limit(0).withColumn(into, F.lit(n))
-    if n <= HEAP_RANKS:
-        ranked = present.orderBy(F.col(score).desc_nulls_last(), F.col(key).asc())
-        return ranked.offset(n - 1).limit(1).withColumn(into, F.lit(n))
-    numbered = dense_ids(
-        present, [F.col(score).desc_nulls_last(), F.col(key).asc()], into=into, start=1
+    order = [F.col("_score").desc_nulls_last(), F.col("_key").asc()]
+    rank = F.lit(n).cast("int").alias(into)
+    if n is None or n < 1:
+        found = present.limit(0).select("*", rank)
+    elif n <= HEAP_RANKS:
+        found = present.orderBy(*order).offset(n - 1).limit(1).select("*", rank)
+    else:
+        numbered = dense_ids(present, order, into="_rank", start=1)
+        found = numbered.where(F.col("_rank") == n).select(*present.columns, rank)
+    found = materialise(found, "ranked")
+    return entities.join(found, F.col(key) == F.col("_key")).select(
+        *[entities[c] for c in entities.columns], *[found[c] for c in rollup.columns], into
     )
-    return numbered.where(F.col(into) == n).withColumn(into, F.col(into).cast("int"))

@@ -24,37 +24,44 @@ ALIASES = StructType(
 
 # Fixed formats of the transcript files.
 PART_IN_FILE_NAME = r"part[_-]?(\d+)[^/]*$"
-TURN_LINE = r"^\s*([^:()]+?)\s*(?:\(to ([^)]+)\))?\s*:\s*(.*)$"
+BEFORE_COLON = r"^\s*([^()]+?)\s*(?:\(to ([^()]+)\))?\s*$"
 
 
 def read_transcripts(
-    spark: SparkSession, path: str | list[str], parts: Sequence[int] | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    parts: Sequence[int] | None = None,
+    part_pattern: str = PART_IN_FILE_NAME,
 ) -> DataFrame:
     """Lines as ``source_part, speaker, addressee, text`` in reading order.
 
     ``source_file, block_start, line_pos`` order the lines totally without
-    reading any file in one piece: large files stay splittable.
+    reading any file in one piece: large files stay splittable. The patterns
+    only see what stands before the colon, not the spoken text. ``part_pattern``
+    finds the part number in a file's path; files without one are left out.
     """
     line = F.col("value")
-    addressee = F.trim(F.regexp_extract(line, TURN_LINE, 2))
+    head = F.substring_index(line, ":", 1)
+    addressee = F.trim(F.regexp_extract(head, BEFORE_COLON, 2))
     lines = (
         spark.read.text(path)
         .select(
-            F.regexp_extract("_metadata.file_path", PART_IN_FILE_NAME, 1).alias("part_text"),
+            F.regexp_extract("_metadata.file_path", part_pattern, 1).alias("part_text"),
             F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("line_pos"),
             line,
         )
-        .where(F.rlike(line, F.lit(TURN_LINE)) & (F.col("part_text") != ""))
+        .where(F.contains(line, F.lit(":")) & F.rlike(head, F.lit(BEFORE_COLON)))
+        .where(F.col("part_text") != "")
         .select(
             F.col("part_text").cast("int").alias("source_part"),
             "source_file",
             "block_start",
             "line_pos",
-            F.trim(F.regexp_extract(line, TURN_LINE, 1)).alias("speaker"),
+            F.trim(F.regexp_extract(head, BEFORE_COLON, 1)).alias("speaker"),
             F.when(addressee != "", addressee).alias("addressee"),
-            F.regexp_extract(line, TURN_LINE, 3).alias("text"),
+            F.ltrim(F.substr(line, F.length(head) + 2), F.lit(" \t")).alias("text"),
         )
     )
     if parts is not None:

@@ -36,7 +36,7 @@ def test_ranking_keeps_one_row_per_part_before_the_shuffle(spark, whole_plans, n
 
 
 @pytest.mark.parametrize("name", ["nth_ranked", "best_group"])
-def test_first_rows_need_no_global_sort(spark, name):
+def test_first_rows_need_no_global_sort(spark, whole_plans, name):
     assert "TakeOrderedAndProject" in plan(registered.queries()[name](spark, SF_DIR))
 
 
@@ -47,7 +47,7 @@ def test_filter_and_columns_reach_the_scan(spark):
     assert expected in text
 
 
-def test_part_filter_reaches_the_scan_through_the_rollup(spark):
+def test_part_filter_reaches_the_scan_through_the_rollup(spark, whole_plans):
     text = plan(registered.queries()["nth_ranked"](spark, SF_DIR))
     assert "EqualTo(o_orderpriority,5-LOW)" in text
 

@@ -210,3 +210,7 @@ def test_nth_ranked(spark, monkeypatch, heap_ranks):
     assert [[r.id for r in found] for found in order] == [[], [2], [1], [3], [4], []]
     assert order[2][0].asDict()["rank"] == 2
     assert order[2][0].words == 1
+    assert nth_ranked(people, spoken, 4, None).collect() == []
+    assert nth_ranked(people, spoken, 4, 1).columns == [
+        *people.columns, "entity_id", "part_id", "words", "rank",
+    ]
