@@ -39,8 +39,11 @@ from callsheet.operators import (
     with_word_count,
 )
 from callsheet.plans import (
+    REPORTS,
     average_share,
     best_group,
+    create_views,
+    derive,
     extreme_share,
     flag_wins,
     nth_ranked,
@@ -277,6 +280,10 @@ def pair_stats_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_rollup(_flow_with_open_targets(spark, sf_dir), words="qty")
 
 
+def pair_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accept_pairs(pair_stats(spark, sf_dir), mode="strict")
+
+
 def pair_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_pairs(pair_stats_nulls(spark, sf_dir))[1]
 
@@ -406,6 +413,86 @@ def _ranked(n: int) -> Query:
     return run
 
 
+def pair_totals_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair report as a SQL view, read by SQL with a parameter."""
+    found = {"pair_totals": pair_totals_named(spark, sf_dir)}
+    create_views({"entity": _nations(spark, sf_dir)}, found)
+    return spark.sql(
+        """
+        SELECT hi_name AS name, words, example
+        FROM report_pair_totals JOIN entity ON hi_id = id
+        WHERE hi_id = lo_id AND n_regionkey <> :region
+        """,
+        args={"region": 0},
+    )
+
+
+# --- the whole workload -----------------------------------------------------
+
+
+def _workload(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Six base tables for the whole workload: nations talk in the conversations."""
+    nation = _table(spark, sf_dir, "nation")
+    region, key = F.col("n_regionkey"), F.col("n_nationkey")
+    conv, turn, balance = F.col("conv_id"), F.col("turn"), F.col("s_acctbal")
+    turns = _table(spark, sf_dir, "conversations").select(
+        (conv * 1_000_000 + turn).alias("id"),
+        (turn % 3 + 4).cast("int").alias("part_id"),
+        (conv % 25).cast("int").alias("from_id"),
+        F.nullif(((conv + turn) % 25).cast("int"), F.lit(24)).alias("to_id"),
+        "text",
+    )
+    spoken = with_word_count(turns).groupBy("part_id")
+    return {
+        "partition": spoken.agg(
+            (F.sum("word_count") + 7).alias("words_total"),
+            (F.count("*") * 1_000_003).alias("money"),
+            F.lit(None).cast("long").alias("words_known"),
+        ).withColumn("name", F.concat(F.lit("part "), "part_id")),
+        "location": _table(spark, sf_dir, "region").toDF("id", "name"),
+        "entity": nation.select(
+            key.alias("id"),
+            F.col("n_name").alias("name"),
+            (key * 37 % 11).alias("score"),
+            F.when(region != 0, region == 1).alias("flag_a"),
+            F.nullif(region, F.lit(4)).alias("location_id"),
+            (key % 2 == 0).alias("flag_b"),
+        ),
+        "turn": turns,
+        "relation": nation.where(region != key).select(
+            region.alias("master_id"), key.alias("apprentice_id")
+        ),
+        "contest": _table(spark, sf_dir, "supplier").select(
+            F.col("s_nationkey").alias("first_id"),
+            (F.col("s_suppkey") % 25).cast("int").alias("second_id"),
+            F.when(balance > 5000, True).when(balance < 1000, False).alias("outcome"),
+        ),
+    }
+
+
+def _derived(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return derive(_workload(spark, sf_dir), pair_mode="quarantine")[name]
+
+    return run
+
+
+def _report(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = REPORTS[name](derive(_workload(spark, sf_dir), pair_mode="quarantine"))
+        if "worth_in_millions" in found.columns:
+            worth = F.col("worth_in_millions").cast("double")
+            found = found.withColumn("worth_in_millions", worth)
+        return found
+
+    return run
+
+
+def workload_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = derive(_workload(spark, sf_dir), pair_mode="quarantine")
+    return nth_ranked(tables["entity"], tables["rollup"], 5, 3)
+
+
 # --- quality, keys, deletes -------------------------------------------------
 
 
@@ -537,6 +624,7 @@ def queries() -> dict[str, Query]:
         "dim_update": dim_update,
         "pair_stats": pair_stats,
         "pair_stats_nulls": pair_stats_nulls,
+        "pair_strict": pair_strict,
         "pair_quarantine": pair_quarantine,
         "pair_accepted": pair_accepted,
         "top_with_related": top_region_with_nations,
@@ -553,6 +641,12 @@ def queries() -> dict[str, Query]:
         "flag_wins_winner_aware": _wins(winner_aware=True),
         "nth_ranked": _ranked(2),
         "nth_ranked_empty": _ranked(0),
+        "pair_totals_view": pair_totals_view,
+        "workload_rollup": _derived("rollup"),
+        "workload_pairs": _derived("pair"),
+        "workload_partitions": _derived("partition"),
+        **{f"workload_{name}": _report(name) for name in REPORTS},
+        "workload_nth_ranked": workload_nth,
         "dup_keys": dup_keys,
         "orphans": orphan_orders,
         "null_length_check": null_length_check,
@@ -713,6 +807,143 @@ def _integrity_sql() -> str:
     )
 
 
+WORKLOAD = f"""
+    turns AS (
+        SELECT conv_id * 1000000 + turn AS id, CAST(turn % 3 + 4 AS INTEGER) AS part_id,
+               CAST(conv_id % 25 AS INTEGER) AS from_id,
+               CAST(nullif((conv_id + turn) % 25, 24) AS INTEGER) AS to_id,
+               text, CAST({WORDS} AS BIGINT) AS words
+        FROM conversations
+    ),
+    rollup_rows AS (
+        SELECT from_id AS entity_id, part_id, CAST(sum(words) AS BIGINT) AS words
+        FROM turns GROUP BY 1, 2
+    ),
+    parts AS (
+        SELECT part_id, 'part ' || part_id AS name, CAST(sum(words) + 7 AS BIGINT) AS words_total,
+               count(*) * 1000003 AS money, CAST(sum(words) AS BIGINT) AS words_known
+        FROM turns GROUP BY part_id
+    ),
+    people AS (
+        SELECT n_nationkey AS id, n_name AS name, n_nationkey * 37 % 11 AS score,
+               CASE WHEN n_regionkey <> 0 THEN n_regionkey = 1 END AS flag_a,
+               nullif(n_regionkey, 4) AS location_id, n_nationkey % 2 = 0 AS flag_b
+        FROM nation
+    ),
+    shares AS (
+        SELECT entity_id, part_id, words,
+               (CAST((2 * CAST(words AS HUGEINT) * 1000000000000 + words_total)
+                     // (2 * words_total) AS HUGEINT) * money + 500000) // 1000000 AS share6
+        FROM rollup_rows JOIN parts USING (part_id)
+    )"""
+
+
+def _workload_extreme_sql(order: str) -> str:
+    return f"""
+    WITH {WORKLOAD},
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY words {order}, entity_id) AS rn
+        FROM shares
+    )
+    SELECT part_id, parts.name AS part_name, entity_id, people.name AS entity_name,
+           CAST((2 * share6 + 1000000) // 2000000 AS DOUBLE) / 1000000 AS worth_in_millions
+    FROM ranked JOIN parts USING (part_id) JOIN people ON people.id = entity_id WHERE rn = 1"""
+
+
+def _workload_wins_sql(flag: str) -> str:
+    return f"""
+    WITH {WORKLOAD}
+    SELECT a.{flag} AS {flag}, count(*) AS wins
+    FROM supplier JOIN people a ON a.id = s_nationkey JOIN people b ON b.id = s_suppkey % 25
+    WHERE (s_acctbal > 5000 OR s_acctbal < 1000) AND a.{flag} <> b.{flag}
+    GROUP BY 1"""
+
+
+def _workload_sql() -> dict[str, str]:
+    return {
+        "rollup": f"""
+            WITH {WORKLOAD}
+            SELECT row_number() OVER (ORDER BY entity_id, part_id) - 1 AS relation_id,
+                   entity_id, part_id, words
+            FROM rollup_rows""",
+        "pairs": f"""
+            WITH {WORKLOAD}
+            SELECT from_id, to_id, CAST(sum(words) AS BIGINT) AS words
+            FROM turns WHERE to_id IS NOT NULL GROUP BY 1, 2""",
+        "partitions": f"WITH {WORKLOAD} SELECT * FROM parts",
+        "top_with_related": f"""
+            WITH {WORKLOAD},
+            ranked AS (
+                SELECT *, rank() OVER (PARTITION BY part_id ORDER BY words DESC) AS rk
+                FROM rollup_rows
+            )
+            SELECT ranked.part_id, parts.name AS part_name, entity_id,
+                   people.name AS entity_name, words,
+                   ' ' || string_agg(master.n_name, ', ' ORDER BY master.n_name) AS related
+            FROM ranked JOIN parts ON parts.part_id = ranked.part_id
+            JOIN people ON people.id = entity_id
+            JOIN nation ON nation.n_nationkey = entity_id
+                AND nation.n_regionkey <> nation.n_nationkey
+            JOIN nation master ON master.n_nationkey = nation.n_regionkey
+            WHERE rk = 1 GROUP BY ALL""",
+        "best_group": f"""
+            WITH {WORKLOAD}
+            SELECT location_id, r_name AS location_name,
+                   CAST(sum(score) // count(score) AS BIGINT) AS average, count(id) AS members,
+                   (SELECT name FROM people ORDER BY score DESC, id LIMIT 1) AS representative
+            FROM people JOIN region ON r_regionkey = location_id
+            GROUP BY location_id, r_name ORDER BY average DESC, location_id LIMIT 1""",
+        "average_share": f"""
+            WITH {WORKLOAD},
+            grid AS (
+                SELECT people.id, people.name, coalesce(share6, 0) AS share6
+                FROM people CROSS JOIN parts
+                LEFT JOIN shares ON shares.entity_id = people.id
+                AND shares.part_id = parts.part_id
+            ),
+            averages AS (
+                SELECT id, name, (2 * sum(share6) + count(*)) // (2 * count(*)) AS average6
+                FROM grid GROUP BY id, name
+            )
+            SELECT id AS entity_id, name AS entity_name,
+                   CAST((2 * average6 + 1000000) // 2000000 AS DOUBLE) / 1000000
+                   AS worth_in_millions
+            FROM averages""",
+        "most_share": _workload_extreme_sql("DESC NULLS LAST"),
+        "least_share": _workload_extreme_sql("ASC NULLS FIRST"),
+        "pair_totals": f"""
+            WITH {WORKLOAD},
+            ranked AS (
+                SELECT *, row_number() OVER (
+                    PARTITION BY greatest(from_id, to_id), least(from_id, to_id)
+                    ORDER BY words DESC, id
+                ) AS rn
+                FROM turns WHERE to_id IS NOT NULL
+            )
+            SELECT a.id AS hi_id, b.id AS lo_id, a.name AS hi_name, b.name AS lo_name,
+                   CAST(sum(words) AS BIGINT) AS words,
+                   max(CASE WHEN rn = 1 THEN text END) AS example
+            FROM ranked JOIN people a ON a.id = greatest(from_id, to_id)
+            JOIN people b ON b.id = least(from_id, to_id)
+            GROUP BY a.id, b.id, a.name, b.name""",
+        "flag_a_wins": _workload_wins_sql("flag_a"),
+        "flag_b_wins": _workload_wins_sql("flag_b"),
+        "nth_ranked": f"""
+            WITH {WORKLOAD},
+            numbered AS (
+                SELECT row_number() OVER (ORDER BY entity_id, part_id) - 1 AS relation_id, *
+                FROM rollup_rows
+            ),
+            ranked AS (
+                SELECT people.*, numbered.*,
+                       CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS INTEGER)
+                       AS rank
+                FROM people JOIN numbered ON id = entity_id WHERE part_id = 5
+            )
+            SELECT * FROM ranked WHERE rank = 3""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     text_rollup_sql = f"""
         SELECT lang, source, CAST(sum({WORDS}) AS BIGINT) AS words
@@ -766,6 +997,7 @@ def oracle_sql() -> dict[str, str]:
             ) ON s_nationkey = n_nationkey""",
         "pair_stats": f"WITH {FLOW} {pairs} GROUP BY from_id, to_id",
         "pair_stats_nulls": pairs_nulls,
+        "pair_strict": f"WITH {FLOW} {pairs} GROUP BY from_id, to_id",
         "pair_quarantine": f"SELECT * FROM ({pairs_nulls}) WHERE words IS NULL",
         "pair_accepted": f"SELECT * FROM ({pairs_nulls}) WHERE words IS NOT NULL",
         "top_with_related": """
@@ -860,6 +1092,11 @@ def oracle_sql() -> dict[str, str]:
         "flag_wins_winner_aware": _wins_sql(winner_aware=True),
         "nth_ranked": _ranked_sql(2),
         "nth_ranked_empty": _ranked_sql(0),
+        "pair_totals_view": f"""
+            SELECT hi_name AS name, words, example
+            FROM ({_pair_totals_sql(OPEN_FLOW, names=True)}) JOIN nation ON hi_id = n_nationkey
+            WHERE hi_id = lo_id AND n_regionkey <> 0""",
+        **{f"workload_{name}": sql for name, sql in _workload_sql().items()},
         "dup_keys": """
             SELECT l_orderkey, l_linenumber, count(*) AS copies
             FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",

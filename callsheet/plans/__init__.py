@@ -9,9 +9,10 @@ from callsheet.plans.reports import (
     pair_totals,
     top_with_related,
 )
-from callsheet.plans.workload import all_reports, create_views, derive
+from callsheet.plans.workload import REPORTS, all_reports, create_views, derive
 
 __all__ = [
+    "REPORTS",
     "all_reports",
     "average_share",
     "best_group",

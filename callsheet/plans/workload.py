@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ from callsheet.plans.reports import (
 )
 from callsheet.session import materialise
 
+Report = Callable[[Mapping[str, DataFrame]], DataFrame]
+
 
 def derive(tables: Mapping[str, DataFrame], pair_mode: str = "strict") -> dict[str, DataFrame]:
     """Add the derived measures: turn words, rollup, pairs and part totals.
@@ -51,28 +53,45 @@ def derive(tables: Mapping[str, DataFrame], pair_mode: str = "strict") -> dict[s
     }
 
 
+def _average_share_in_millions(tables: Mapping[str, DataFrame]) -> DataFrame:
+    shares = average_share(tables["entity"], tables["rollup"], tables["partition"])
+    in_millions = (F.col("average_share") / F.lit(MILLION)).cast("decimal(38,6)")
+    return shares.select(
+        "entity_id", "entity_name", in_millions.alias("worth_in_millions")
+    ).orderBy(F.col("worth_in_millions").desc(), "entity_id")
+
+
+def _extreme_share(mode: str) -> Report:
+    return lambda t: extreme_share(t["rollup"], t["partition"], t["entity"], mode)
+
+
+def _flag_wins(flag: str) -> Report:
+    return lambda t: flag_wins(t["contest"], t["entity"], flag)
+
+
+REPORTS: dict[str, Report] = {
+    "top_with_related": lambda t: top_with_related(
+        t["rollup"], t["relation"], t["entity"], t["partition"]
+    ),
+    "best_group": lambda t: best_group(t["entity"], t["location"]),
+    "average_share": _average_share_in_millions,
+    "most_share": _extreme_share("most"),
+    "least_share": _extreme_share("least"),
+    "pair_totals": lambda t: pair_totals(t["turn"], t["entity"]).orderBy(
+        F.col("words").desc(), "hi_id", "lo_id"
+    ),
+    "flag_a_wins": _flag_wins("flag_a"),
+    "flag_b_wins": _flag_wins("flag_b"),
+}
+
+
 def all_reports(
     tables: Mapping[str, DataFrame], nth_part: int | None = None, nth: int = 2
 ) -> dict[str, DataFrame]:
     """The reports over derived tables; the ninth only if a part is named."""
-    entities, rollup, partitions = tables["entity"], tables["rollup"], tables["partition"]
-    in_millions = (F.col("average_share") / F.lit(MILLION)).cast("decimal(38,6)")
-    found = {
-        "top_with_related": top_with_related(rollup, tables["relation"], entities, partitions),
-        "best_group": best_group(entities, tables["location"]),
-        "average_share": average_share(entities, rollup, partitions)
-        .select("entity_id", "entity_name", in_millions.alias("worth_in_millions"))
-        .orderBy(F.col("worth_in_millions").desc(), "entity_id"),
-        "most_share": extreme_share(rollup, partitions, entities, "most"),
-        "least_share": extreme_share(rollup, partitions, entities, "least"),
-        "pair_totals": pair_totals(tables["turn"], entities).orderBy(
-            F.col("words").desc(), "hi_id", "lo_id"
-        ),
-        "flag_a_wins": flag_wins(tables["contest"], entities, "flag_a"),
-        "flag_b_wins": flag_wins(tables["contest"], entities, "flag_b"),
-    }
+    found = {name: report(tables) for name, report in REPORTS.items()}
     if nth_part is not None:
-        found["nth_ranked"] = nth_ranked(entities, rollup, nth_part, nth)
+        found["nth_ranked"] = nth_ranked(tables["entity"], tables["rollup"], nth_part, nth)
     return found
 
 

@@ -48,12 +48,24 @@ def test_entry_runs(spark):
     assert entry(spark).count() == 4
 
 
+DUCK_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "smallint": "SMALLINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_equals_oracle(spark, duck, name):
     found = queries()[name](spark, SF_DIR)
     wanted = duck.execute(oracle_sql()[name])
     columns = [c[0] for c in wanted.description]
     assert sorted(found.columns) == sorted(columns)
+    types = {f.name: DUCK_TYPES[f.dataType.simpleString()] for f in found.schema.fields}
+    assert types == {c[0]: str(c[1]) for c in wanted.description}
     rows = _sorted(found.columns, found.collect())
     assert rows == _sorted(columns, wanted.fetchall())
     assert rows or name == "nth_ranked_empty"
