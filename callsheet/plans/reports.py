@@ -230,6 +230,7 @@ def pair_totals(
     turns: DataFrame,
     entities: DataFrame | None = None,
     *,
+    texts: DataFrame | None = None,
     source: str = "from_id",
     target: str = "to_id",
     words: str = "word_count",
@@ -248,6 +249,7 @@ def pair_totals(
     Turns are first folded per pair and length, then per pair, over numbers
     alone. Only then are the texts of the chosen turns looked up by their id,
     so no text is sorted, shuffled or kept for a turn that is not an example.
+    ``texts`` is the table that holds them, if it is not ``turns``.
     """
     length = F.col("_length")
     pairs = (
@@ -267,7 +269,8 @@ def pair_totals(
     columns = ["hi_id", "lo_id", "words", "example"]
     if text is not None:
         pairs = materialise(pairs.withColumnRenamed("example", "_example"), "pairs")
-        texts = turns.select(F.col(turn).alias("_turn"), F.col(text).alias("example"))
+        texts = turns if texts is None else texts
+        texts = texts.select(F.col(turn).alias("_turn"), F.col(text).alias("example"))
         pairs = pairs.join(texts, F.col("_example") == F.col("_turn"))
     if entities is not None:
         hi = entities.select(F.col(key).alias("_hi"), F.col(name).alias("hi_name"))

@@ -34,19 +34,22 @@ Report = Callable[[Mapping[str, DataFrame]], DataFrame]
 def derive(tables: Mapping[str, DataFrame], pair_mode: str = "strict") -> dict[str, DataFrame]:
     """Add the derived measures: turn words, rollup, pairs and part totals.
 
-    Takes ``partition, location, entity, turn, relation, contest``. The turns
-    with their counts are written once, so the texts are measured once; all
-    else is aggregated from them.
+    Takes ``partition, location, entity, turn, relation, contest``. The texts
+    are measured once, into the narrow table ``turn_words``; all else is
+    aggregated from that. The texts themselves are not written again: ``turn``
+    is the given table with its count as a column.
     """
-    turns = materialise(with_word_count(tables["turn"]), "turns")
-    spoken = entity_rollup(turns).withColumnRenamed("from_id", "entity_id")
+    turns = with_word_count(tables["turn"])
+    measured = materialise(turns.select("id", "part_id", "from_id", "to_id", "word_count"), "words")
+    spoken = entity_rollup(measured).withColumnRenamed("from_id", "entity_id")
     rollup = dense_ids(spoken, ["entity_id", "part_id"], into="relation_id")
-    per_part = spoken.groupBy("part_id").agg(F.sum("words").alias("words"))
+    per_part = measured.groupBy("part_id").agg(F.sum("word_count").alias("words"))
     return {
         **tables,
         "turn": turns,
+        "turn_words": measured,
         "rollup": rollup.select("relation_id", "entity_id", "part_id", "words"),
-        "pair": accept_pairs(pair_rollup(turns), mode=pair_mode),
+        "pair": accept_pairs(pair_rollup(measured), mode=pair_mode),
         "partition": update_from(
             tables["partition"], "part_id", per_part, "part_id", "words_known", "words"
         ),
@@ -77,9 +80,9 @@ REPORTS: dict[str, Report] = {
     "average_share": _average_share_in_millions,
     "most_share": _extreme_share("most"),
     "least_share": _extreme_share("least"),
-    "pair_totals": lambda t: pair_totals(t["turn"], t["entity"]).orderBy(
-        F.col("words").desc(), "hi_id", "lo_id"
-    ),
+    "pair_totals": lambda t: pair_totals(
+        t["turn_words"], t["entity"], texts=t["turn"]
+    ).orderBy(F.col("words").desc(), "hi_id", "lo_id"),
     "flag_a_wins": _flag_wins("flag_a"),
     "flag_b_wins": _flag_wins("flag_b"),
 }
