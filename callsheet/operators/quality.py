@@ -39,7 +39,8 @@ def _row_rules(rules: TableRules) -> dict[str, Column]:
 
 def _rule_counts(df: DataFrame, breaks: Mapping[str, Column]) -> DataFrame:
     """One row per rule with its number of breaking rows, from one pass."""
-    counts = df.agg(*[F.count_if(broken).alias(f"_{i}") for i, broken in enumerate(breaks.values())])
+    broken = enumerate(breaks.values())
+    counts = df.agg(*[F.count_if(rule).alias(f"_{i}") for i, rule in broken])
     rows = [
         F.struct(F.lit(rule).alias("rule"), F.col(f"_{i}").alias("violations"))
         for i, rule in enumerate(breaks)

@@ -59,7 +59,9 @@ def top_with_related(
     """
     best = rollup.groupBy(part).agg(F.max(measure).alias(measure))
     tops = rollup.join(best, [part, measure]).select(
-        F.col(part).alias("part_id"), F.col(entity).alias("entity_id"), F.col(measure).alias("words")
+        F.col(part).alias("part_id"),
+        F.col(entity).alias("entity_id"),
+        F.col(measure).alias("words"),
     )
     tops = materialise(tops, "tops")
     edges = relations.where(F.col(parent).isNotNull()).select(
@@ -79,7 +81,9 @@ def top_with_related(
     )
     columns = ["part_id", "entity_id", "entity_name", "words", "related"]
     if partitions is not None:
-        parts = partitions.select(F.col(part_key).alias("_part"), F.col(part_name).alias("part_name"))
+        parts = partitions.select(
+            F.col(part_key).alias("_part"), F.col(part_name).alias("part_name")
+        )
         listed = listed.join(parts, F.col("part_id") == F.col("_part"), "left")
         columns.insert(1, "part_name")
     return listed.select(*columns)
@@ -307,7 +311,9 @@ def flag_wins(
     pairings = (
         contests.where(F.col(outcome).isNotNull())
         .groupBy(
-            F.col(first).alias("_first"), F.col(second).alias("_second"), F.col(outcome).alias("_won")
+            F.col(first).alias("_first"),
+            F.col(second).alias("_second"),
+            F.col(outcome).alias("_won"),
         )
         .agg(F.count("*").alias("_contests"))
     )

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Broadcasts are never forced on tables: Catalyst broadcasts by file size and
 # the adaptive planner by the measured size, and both fall back to a sort-merge
-# join. forceOptimizeSkewedJoin lets a hot join key be split even if that costs
-# a later shuffle.
+# join, or to a hash join where every measured partition of a side is small.
+# forceOptimizeSkewedJoin lets a hot join key be split even if that costs a
+# later shuffle.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }

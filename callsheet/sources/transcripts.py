@@ -77,9 +77,10 @@ def to_turns(
     """Replace names by ids: ``part_id, from_id, to_id, text, word_count`` + rest.
 
     ``aliases`` maps an upper-case name to an entity id, or is a table of unique
-    ``alias`` and ``entity_id``; several aliases may share an id. A line by an unlisted speaker is left out; an
-    unlisted or missing addressee gives a NULL target. ``part_map`` renumbers
-    the parts and leaves out the ones it does not name.
+    ``alias`` and ``entity_id``; several aliases may share an id. A line by an
+    unlisted speaker is left out; an unlisted or missing addressee gives a NULL
+    target. ``part_map`` renumbers the parts and leaves out the ones it does not
+    name.
     """
     if not isinstance(aliases, DataFrame):
         aliases = literal_rows(lines.sparkSession, aliases.items(), ALIASES)

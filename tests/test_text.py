@@ -56,7 +56,11 @@ def test_joined_names(spark):
     assert {tuple(r) for r in listed.collect()} == {(1, " a, b, b", "a/b/b"), (2, None, None)}
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(
+    max_examples=10,
+    deadline=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
 @given(st.lists(st.text(alphabet=" ab\té\n", max_size=30), min_size=1, max_size=50))
 def test_word_count_equals_its_definition(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
