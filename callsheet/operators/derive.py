@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsheet.functions import word_count
+from callsheet.session import materialise
 
 
 class RejectedPairs(ValueError):
@@ -69,13 +70,17 @@ def split_pairs(pairs: DataFrame, measure: str = "words") -> tuple[DataFrame, Da
 
 
 def accept_pairs(pairs: DataFrame, measure: str = "words", mode: str = "strict") -> DataFrame:
-    """Pairs to load: all or nothing (``strict``), or the good ones (``quarantine``)."""
-    good, bad = split_pairs(pairs, measure)
+    """Pairs to load: all or nothing (``strict``), or the good ones (``quarantine``).
+
+    A strict load has to see all pairs before it lets one pass, so they are
+    written first and not computed again for the load.
+    """
     if mode == "quarantine":
-        return good
+        return split_pairs(pairs, measure)[0]
     if mode != "strict":
         raise ValueError(f"mode must be 'strict' or 'quarantine', not {mode!r}")
-    rejected = bad.count()
+    pairs = materialise(pairs, "strict-pairs")
+    rejected = split_pairs(pairs, measure)[1].count()
     if rejected:
         raise RejectedPairs(f"{rejected} pairs have no {measure}; nothing is loaded")
     return pairs
