@@ -62,6 +62,14 @@ from callsheet.sources import (
     to_turns,
 )
 
+# The numbered queries and the pipeline can be taken away; all else stays.
+try:
+    from callsheet.llm import queries as llm_queries
+except ModuleNotFoundError as error:
+    if error.name not in {"callsheet.llm", "corpus_pipeline"}:
+        raise
+    llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SCHEMAS = {
@@ -611,6 +619,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    numbered = llm_queries.queries() if llm_queries else {}
     return {
         "table_scan": table_scan,
         "stored_rollup": stored_rollup,
@@ -661,9 +670,11 @@ def queries() -> dict[str, Query]:
         "cascade_second_level": cascade_second_level,
         "set_null": set_null,
         "defaults": defaults,
+        **numbered,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For each query the equal SQL text for DuckDB; see ``oracle_queries``."""
-    return oracle_queries.sql_texts()
+    numbered = llm_queries.oracle_sql() if llm_queries else {}
+    return {**oracle_queries.sql_texts(), **numbered}
