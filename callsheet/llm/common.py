@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,3 +67,22 @@ def ordered_prefixes(
         (F.col("_weight0") + F.col("_inner_weight")).alias("before"),
         "total",
     )
+
+
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}  # executors fetch the file later
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` would, unless
+    they find it on their own path; once per application."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent.parent
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if str(root) in paths or context.applicationId in _SHIPPED:
+        return
+    folder = _SHIPPED[context.applicationId] = tempfile.TemporaryDirectory()
+    name = os.path.join(folder.name, "callsheet-package.zip")
+    with zipfile.ZipFile(name, "w") as package:
+        for file in sorted((root / "callsheet").rglob("*.py")):
+            package.write(file, file.relative_to(root))
+    context.addPyFile(name)

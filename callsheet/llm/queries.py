@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callsheet.llm import packing, shards, token_files
-from callsheet.llm.common import table
+from callsheet.llm import bpe, packing, quality, secrets, shards, token_files, topk
+from callsheet.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return token_files.digests(table(spark, sf_dir, "documents"), vocabulary, end_id=1)
 
@@ -22,16 +29,35 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.law_rows(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_threshold_top_k": op1_threshold_top_k,
         "op2_token_files": op2_token_files,
         "op3_byte_shards": op3_byte_shards,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_secret_scans": op5_secret_scans,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op10_bpe_round_trip": op10_bpe_round_trip,
     }
 
 
