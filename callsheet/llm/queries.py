@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import bpe, packing, quality, secrets, shards, token_files, topk
+from callsheet.llm import bpe, packing, quality, secrets, shards, substrings, token_files, topk
 from callsheet.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scans": op5_secret_scans,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
 
