@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsheet.llm import bpe, packing, quality, secrets, shards, substrings, token_files, topk
+from callsheet.llm import bpe, languages, near, packing, quality, secrets, shards, substrings, token_files, topk
 from callsheet.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return languages.predictions(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +53,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return near.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,8 +71,10 @@ def queries() -> dict[str, Query]:
         "op3_byte_shards": op3_byte_shards,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scans": op5_secret_scans,
+        "op6_language_mixture": op6_language_mixture,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
 
