@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
@@ -33,6 +33,7 @@ from callsheet.operators import (
     integrity_report,
     orphans,
     pair_rollup,
+    refusals,
     rows_with_violations,
     split_pairs,
     uncovered,
@@ -51,15 +52,18 @@ from callsheet.plans import (
     pair_totals,
     top_with_related,
 )
-from callsheet.schemas import CASCADE, SET_NULL, ForeignKey, TableRules
-from callsheet.session import materialise, shared_folder
+from callsheet.schemas import CASCADE, REFUSE, SET_NULL, ForeignKey, TableRules
+from callsheet.session import materialise, workspace
 from callsheet.sources import (
+    append_numbered,
     append_rows,
+    escaped,
     read_table,
     read_transcripts,
     replace_table,
     speaker_words,
     to_turns,
+    unlisted,
 )
 
 # The numbered queries and the pipeline can be taken away; all else stays.
@@ -103,7 +107,9 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
+        "l_partkey",
         "l_suppkey",
+        "l_shipdate",
         "l_returnflag",
         F.col("l_quantity").cast("long").alias("qty"),
     )
@@ -179,16 +185,31 @@ def _words_by(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 
 
 def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write a rollup as a table partitioned by language, twice; read it back."""
-    path = f"{shared_folder(spark)}/stored-rollup-{uuid.uuid4().hex}"
-    rollup = text_rollup(spark, sf_dir)
-    replace_table(rollup, path, ["lang"])
-    return replace_table(rollup, path, ["lang"])
+    """Write a rollup as a table partitioned by language; read it back."""
+    path = f"{workspace(spark)}/stored-rollup-{uuid.uuid4().hex}"
+    return replace_table(text_rollup(spark, sf_dir), path, ["lang"])
+
+
+def self_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store the words per source, then keep of the stored table what it says."""
+    path = f"{workspace(spark)}/self-replaced-{uuid.uuid4().hex}"
+    stored = replace_table(_words_by(spark, sf_dir, "source"), path)
+    return replace_table(stored.where(F.col("words") % 2 == 0), path)
+
+
+def appended_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number the conversations' turns in two loads with ids that go on."""
+    path = f"{workspace(spark)}/appended-ids-{uuid.uuid4().hex}"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    for rest in (0, 1):
+        load = turns.where(F.col("conv_id") % 2 == rest)
+        append_numbered(load, path, ["conv_id", "turn"], into="dialogue_id")
+    return spark.read.parquet(path)
 
 
 def appended_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append the words per source to the words per language."""
-    path = f"{shared_folder(spark)}/appended-rollups-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/appended-rollups-{uuid.uuid4().hex}"
     by_lang = _words_by(spark, sf_dir, "lang")
     replace_table(by_lang, path)
     append_rows(_words_by(spark, sf_dir, "source"), path)
@@ -222,23 +243,47 @@ def ingest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the conversations as transcript text files, then ingest the files."""
-    path = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+def _written_transcripts(spark: SparkSession, sf_dir: str, text: Column) -> str:
+    path = f"{workspace(spark)}/transcripts-{uuid.uuid4().hex}"
     target = F.concat(F.lit(" (to "), F.trim("addressee"), F.lit(")"))
-    one_line = F.translate("text", "\n\r", "  ")
     lines = _transcript(spark, sf_dir).select(
         "source_part",
-        F.concat("speaker", F.coalesce(target, F.lit("")), F.lit(": "), one_line).alias("value"),
+        F.concat("speaker", F.coalesce(target, F.lit("")), F.lit(": "), text).alias("value"),
     )
     lines.write.partitionBy("source_part").text(path)
-    found = read_transcripts(spark, path, part_pattern=r"source_part=(\d+)")
+    return path
+
+
+def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the conversations as transcript text files, then ingest the files."""
+    path = _written_transcripts(spark, sf_dir, escaped(F.col("text")))
+    found, _ = read_transcripts(spark, path, part_pattern=r"source_part=(\d+)", escapes=True)
     turns = to_turns(found, ROLE_IDS, part_map={1: 4, 2: 5})
     return turns.groupBy(F.col("part_id").cast("int").alias("part_id"), "from_id", "to_id").agg(
         F.count("*").alias("turns"), F.sum("word_count").alias("words")
     )
 
 
+def transcript_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that an ingest of the texts as they are accepts, and rejects by reason.
+
+    A blank line is put before each turn, and the system's turns have no listed
+    speaker. Line breaks in the texts make continuation lines.
+    """
+    text = F.translate("text", ":()[]\r", "      ")
+    paragraphs = F.concat(F.regexp_replace(text, "\n+", "\n"), F.lit("\n"))
+    path = _written_transcripts(spark, sf_dir, F.concat(F.lit("- "), paragraphs, F.lit("[pause]")))
+    found, rejects = read_transcripts(spark, path, part_pattern=r"source_part=(\d+)")
+    listed = {name: entity for name, entity in ROLE_IDS.items() if name != "SYSTEM"}
+    lines = found.withColumn("reject", F.lit("accepted"))
+    strange = unlisted(found, listed).withColumn("reject", F.lit("unlisted speaker"))
+    known = to_turns(lines.withColumn("n", F.col("n_lines")), listed, part_map={1: 4, 2: 5})
+    counted = known.groupBy("reject").agg(F.sum("n").alias("n"))
+    return counted.union(strange.groupBy("reject").agg(F.sum("n_lines").alias("n"))).union(
+        rejects.groupBy("reject").agg(F.count("*").alias("n"))
+    )
+
+
 def speaker_word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_words(_transcript(spark, sf_dir), ["SYS", "assist"], parts=[1, 2])
 
@@ -308,12 +353,13 @@ def top_region_with_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per priority the region with most orders, and the names of its nations."""
     nations = _nations(spark, sf_dir)
     regions = nations.select(F.col("id").alias("nation"), "n_regionkey")
+    homes = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    folded = _order_counts(spark, sf_dir)  # before the joins, so orders reach them as counts
     rollup = (
-        _table(spark, sf_dir, "orders")
-        .join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("id"))
-        .join(regions, F.col("location_id") == F.col("nation"))
-        .groupBy(F.col("o_orderpriority").alias("part_id"), F.col("n_regionkey").alias("entity_id"))
-        .agg(F.count("*").alias("words"))
+        folded.join(homes, F.col("entity_id") == F.col("c_custkey"))
+        .join(regions, F.col("c_nationkey") == F.col("nation"))
+        .groupBy("part_id", F.col("n_regionkey").alias("entity_id"))
+        .agg(F.sum("words").alias("words"))
     )
     return top_with_related(
         rollup,
@@ -389,11 +435,22 @@ def pair_totals_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pair_totals_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest line of each pair. Order and line number repeat in the given
+    table, so the key takes the part, the supplier and the date as well."""
+    return pair_totals(
+        _flow(spark, sf_dir),
+        texts=_table(spark, sf_dir, "lineitem"),
+        words="qty",
+        turn=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"),
+        text="l_returnflag",
+    )
+
+
 def longest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words between the roles of the conversations, with the longest line."""
-    turn_id = (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id")
-    lines = _transcript(spark, sf_dir).withColumn("id", turn_id)
-    return pair_totals(to_turns(lines, ROLE_IDS))
+    turns = to_turns(_transcript(spark, sf_dir), ROLE_IDS)
+    return pair_totals(turns, turn=("conv_id", "turn"))
 
 
 def _wins(winner_aware: bool) -> Query:
@@ -445,7 +502,7 @@ def _workload(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     region, key = F.col("n_regionkey"), F.col("n_nationkey")
     conv, turn, balance = F.col("conv_id"), F.col("turn"), F.col("s_acctbal")
     turns = _table(spark, sf_dir, "conversations").select(
-        (conv * 1_000_000 + turn).alias("id"),
+        F.struct(conv.alias("conv"), turn.alias("turn")).alias("id"),
         (turn % 3 + 4).cast("int").alias("part_id"),
         (conv % 25).cast("int").alias("from_id"),
         F.nullif(((conv + turn) % 25).cast("int"), F.lit(24)).alias("to_id"),
@@ -599,6 +656,17 @@ def cascade_second_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _after_delete(spark, sf_dir)["supplier"].select("s_suppkey", "s_nationkey")
 
 
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers that keep region 0 from being deleted with its nations."""
+    tables = {n: _table(spark, sf_dir, n) for n in ("region", "nation", "customer")}
+    links = [
+        ForeignKey("nation", "n_regionkey", "region", "r_regionkey", CASCADE),
+        ForeignKey("customer", "c_nationkey", "nation", "n_nationkey", REFUSE),
+    ]
+    found = refusals(tables, links, "region", F.col("r_regionkey") == 0)
+    return found["customer"].select("c_custkey", "c_nationkey")
+
+
 def set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _after_delete(spark, sf_dir)["customer"].select("c_custkey", "c_nationkey")
 
@@ -623,9 +691,12 @@ def queries() -> dict[str, Query]:
     return {
         "table_scan": table_scan,
         "stored_rollup": stored_rollup,
+        "self_replaced": self_replaced,
         "appended_rollups": appended_rollups,
+        "appended_ids": appended_ids,
         "ingest_turns": ingest_turns,
         "transcript_files": transcript_files,
+        "transcript_rejects": transcript_rejects,
         "speaker_words": speaker_word_totals,
         "word_count": word_counts,
         "sql_word_count": sql_word_counts,
@@ -646,11 +717,13 @@ def queries() -> dict[str, Query]:
         "most_words": most_words,
         "pair_totals": pair_totals_with_example,
         "pair_totals_named": pair_totals_named,
+        "pair_totals_text": pair_totals_text,
         "longest_lines": longest_lines,
         "flag_wins": _wins(winner_aware=False),
         "flag_wins_winner_aware": _wins(winner_aware=True),
         "nth_ranked": _ranked(2),
-        "nth_ranked_empty": _ranked(0),
+        "nth_ranked_late": _ranked(150),
+        "nth_ranked_empty": _ranked(1_000_000_000),
         "pair_totals_view": pair_totals_view,
         "workload_rollup": _derived("rollup"),
         "workload_pairs": _derived("pair"),
@@ -668,6 +741,7 @@ def queries() -> dict[str, Query]:
         "dense_ids": customer_ids,
         "cascade": cascade,
         "cascade_second_level": cascade_second_level,
+        "refused": refused,
         "set_null": set_null,
         "defaults": defaults,
         **numbered,

@@ -2,13 +2,12 @@
 
 from callsheet.functions.numbers import integer_average, money_share
 from callsheet.functions.sql import register_functions
-from callsheet.functions.text import joined_names, stored_length, word_count
+from callsheet.functions.text import joined_names, word_count
 
 __all__ = [
     "integer_average",
     "joined_names",
     "money_share",
     "register_functions",
-    "stored_length",
     "word_count",
 ]

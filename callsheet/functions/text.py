@@ -6,24 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def stored_length(text: Column) -> Column:
-    """Characters in ``text`` without trailing blanks (tabs and newlines count)."""
-    return F.length(F.rtrim(text))
-
-
-def word_count(text: Column, max_chars: int | None = None) -> Column:
+def word_count(text: Column) -> Column:
     """Blank-separated words: inner blanks plus one; NULL stays NULL.
 
     Only trailing blanks are ignored, so ``''`` and ``'   '`` give 1, ``' a'``
     gives 2 and ``'a  b'`` gives 3. Both lengths are taken in bytes: they differ
     by blanks alone, which are one byte each, and a byte length needs no walk
-    over the text.
-
-    ``max_chars`` first cuts the text, for parity with a caller whose text
-    parameter is declared that long; by default the whole text counts.
+    over the text. The whole text counts, whatever length a column declares;
+    over-long texts are found by the length rules.
     """
-    if max_chars is not None:
-        text = F.substring(text, 1, max_chars)
     squeezed = F.replace(text, F.lit(" "), F.lit(""))
     return (F.octet_length(F.rtrim(text)) - F.octet_length(squeezed) + 1).cast("long")
 

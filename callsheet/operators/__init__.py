@@ -1,6 +1,6 @@
 """Derivations, quality jobs, keys and deletes over DataFrames."""
 
-from callsheet.operators.deletes import DeleteRefused, delete_rows
+from callsheet.operators.deletes import DeleteRefused, delete_rows, refusals
 from callsheet.operators.derive import (
     RejectedPairs,
     accept_pairs,
@@ -37,6 +37,7 @@ __all__ = [
     "integrity_report",
     "orphans",
     "pair_rollup",
+    "refusals",
     "rows_with_violations",
     "split_pairs",
     "uncovered",

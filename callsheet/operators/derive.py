@@ -13,11 +13,9 @@ class RejectedPairs(ValueError):
     """A strict load met pairs without a measure."""
 
 
-def with_word_count(
-    turns: DataFrame, text: str = "text", into: str = "word_count", max_chars: int | None = None
-) -> DataFrame:
+def with_word_count(turns: DataFrame, text: str = "text", into: str = "word_count") -> DataFrame:
     """Set each turn's word count; the key is unique, so no join is needed."""
-    return turns.withColumn(into, word_count(F.col(text), max_chars))
+    return turns.withColumn(into, word_count(F.col(text)))
 
 
 def entity_rollup(
@@ -37,12 +35,20 @@ def update_from(
     """Overwrite ``dim.column`` by ``source.value`` where the keys meet.
 
     Rows without a match keep their old value; a matched NULL does overwrite.
-    ``source`` has one row per key, as an aggregate by that key has.
+    ``source`` must have one row per key, as an aggregate by that key has; a key
+    that comes twice is an error, never a second row.
     """
-    updates = source.select(
-        F.col(source_key).alias("_update_key"),
-        F.col(value).alias("_update_value"),
-        F.lit(True).alias("_matched"),
+    twice = F.raise_error(F.concat(F.lit("an update has several rows for "), "_update_key"))
+    updates = (
+        source.groupBy(F.col(source_key).alias("_update_key"))
+        .agg(F.first(value).alias("_update_value"), F.count("*").alias("_rows"))
+        .select(
+            "_update_key",
+            F.when((F.col("_rows") > 1) & F.col("_update_key").isNotNull(), twice)
+            .otherwise(F.col("_update_value"))
+            .alias("_update_value"),
+            F.lit(True).alias("_matched"),
+        )
     )
     new = F.when(F.col("_matched"), F.col("_update_value")).otherwise(F.col(column))
     return (

@@ -12,6 +12,10 @@ from pyspark.sql.types import StructType
 from callsheet.session import materialise
 
 
+#: What the lower bits of a row's mark can tell apart within its range.
+PLACES = (1 << 33) - 1
+
+
 def dense_ids(
     df: DataFrame, order_by: Sequence[str | Column], into: str = "id", start: int = 0
 ) -> DataFrame:
@@ -26,11 +30,14 @@ def dense_ids(
     of ranges (at most one per shuffle partition) is numbered in one task and
     broadcast, never the rows.
     """
+    mark = F.monotonically_increasing_id()
     placed = materialise(
         df.orderBy(*order_by).select(
             "*",
             F.spark_partition_id().alias("_range"),
-            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
+            F.when(F.shiftright(mark, 33) == F.spark_partition_id(), mark.bitwiseAND(F.lit(PLACES)))
+            .otherwise(F.raise_error(F.lit("a range has more than 2**33 rows; use more ranges")))
+            .alias("_place"),
         ),
         "dense-ids",
     )
@@ -49,8 +56,12 @@ def dense_ids(
 def fill_defaults(df: DataFrame, schema: StructType, defaults: Mapping[str, Any]) -> DataFrame:
     """Lay ``df`` out as ``schema``; a column it lacks takes its default or NULL.
 
-    A NULL that is present stays NULL.
+    A NULL that is present stays NULL. A column that the schema does not name is
+    an error, so that no value is lost.
     """
+    unknown = [c for c in df.columns if c not in schema.names]
+    if unknown:
+        raise ValueError(f"the schema does not name {', '.join(unknown)}")
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(defaults.get(f.name)))

@@ -9,7 +9,7 @@ from callsheet.plans.reports import (
     pair_totals,
     top_with_related,
 )
-from callsheet.plans.workload import REPORTS, all_reports, create_views, derive
+from callsheet.plans.workload import REPORTS, all_reports, create_views, derive, live_views
 
 __all__ = [
     "REPORTS",
@@ -20,6 +20,7 @@ __all__ = [
     "derive",
     "extreme_share",
     "flag_wins",
+    "live_views",
     "nth_ranked",
     "pair_totals",
     "top_with_related",

@@ -12,6 +12,8 @@ table is scanned next to a broadcast instead of being shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +23,6 @@ from callsheet.session import materialise
 
 MILLION = 1_000_000
 
-# Up to this rank every task hands its n best rows to one task; beyond it the
-# rows are sorted across tasks.
-HEAP_RANKS = 100
-
 
 def top_with_related(
     rollup: DataFrame,
@@ -54,10 +52,11 @@ def top_with_related(
     unknown name is skipped, and without any known name the list is NULL.
     ``relatives`` names the related side if it is not ``entities``.
 
-    The maximum joins back on part and value, so the many rows of one large
-    part are never gathered in one task.
+    The maxima, a row per part, are written and join back on part and value, so
+    the many rows of one large part are never gathered in one task. An entity's
+    list is made once, however many parts it tops.
     """
-    best = rollup.groupBy(part).agg(F.max(measure).alias(measure))
+    best = materialise(rollup.groupBy(part).agg(F.max(measure).alias(measure)), "best")
     tops = rollup.join(best, [part, measure]).select(
         F.col(part).alias("part_id"),
         F.col(entity).alias("entity_id"),
@@ -72,13 +71,15 @@ def top_with_related(
         F.col(relative_key).alias("_relative"), F.col(relative_name).alias("_relative_name")
     )
     named = entities.select(F.col(key).alias("_entity"), F.col(name).alias("entity_name"))
-    listed = (
-        tops.join(edges, F.col("entity_id") == F.col("_child"))
+    lists = (
+        tops.select("entity_id")
+        .distinct()
+        .join(edges, F.col("entity_id") == F.col("_child"))
         .join(known, F.col("_parent") == F.col("_relative"), "left")
-        .groupBy("part_id", "entity_id", "words")
+        .groupBy("entity_id")
         .agg(joined_names(F.col("_relative_name"), leading_blank=leading_blank).alias("related"))
-        .join(named, F.col("entity_id") == F.col("_entity"))
     )
+    listed = tops.join(lists, "entity_id").join(named, F.col("entity_id") == F.col("_entity"))
     columns = ["part_id", "entity_id", "entity_name", "words", "related"]
     if partitions is not None:
         parts = partitions.select(
@@ -238,7 +239,7 @@ def pair_totals(
     source: str = "from_id",
     target: str = "to_id",
     words: str = "word_count",
-    turn: str = "id",
+    turn: str | Sequence[str] = "id",
     text: str | None = "text",
     key: str = "id",
     name: str = "name",
@@ -247,7 +248,8 @@ def pair_totals(
 
     Self pairs count; turns without a target do not. ``hi_id`` is the larger
     id. Of equally long turns the one with the smallest id is the example;
-    ``text=None`` gives that id itself. With ``entities`` the names are added
+    ``text=None`` gives that id itself. The id may be several columns, compared
+    in their order. Two texts under one id are an error. With ``entities`` the names are added
     and pairs of unknown entities left out.
 
     Turns are first folded per pair and length, then per pair, over numbers
@@ -256,6 +258,7 @@ def pair_totals(
     ``texts`` is the table that holds them, if it is not ``turns``.
     """
     length = F.col("_length")
+    key_of_turn = F.col(turn) if isinstance(turn, str) else F.struct(*turn)
     pairs = (
         turns.where(F.col(source).isNotNull() & F.col(target).isNotNull())
         .groupBy(
@@ -263,7 +266,7 @@ def pair_totals(
             F.least(source, target).alias("lo_id"),
             F.col(words).alias("_length"),
         )
-        .agg(F.sum(words).alias("_words"), F.min(turn).alias("_turn"))
+        .agg(F.sum(words).alias("_words"), F.min(key_of_turn).alias("_turn"))
         .groupBy("hi_id", "lo_id")
         .agg(
             F.sum("_words").alias("words"),
@@ -274,8 +277,12 @@ def pair_totals(
     if text is not None:
         pairs = materialise(pairs.withColumnRenamed("example", "_example"), "pairs")
         texts = turns if texts is None else texts
-        texts = texts.select(F.col(turn).alias("_turn"), F.col(text).alias("example"))
-        pairs = pairs.join(texts, F.col("_example") == F.col("_turn"))
+        texts = texts.select(key_of_turn.alias("_turn"), F.col(text).alias("example"))
+        met = pairs.join(texts, F.col("_example") == F.col("_turn"))
+        twice = F.raise_error(F.lit("a turn id has several texts"))
+        pairs = met.groupBy("hi_id", "lo_id", "words").agg(
+            F.when(F.count("*") > 1, twice).otherwise(F.first("example")).alias("example")
+        )
     if entities is not None:
         hi = entities.select(F.col(key).alias("_hi"), F.col(name).alias("hi_name"))
         lo = entities.select(F.col(key).alias("_lo"), F.col(name).alias("lo_name"))
@@ -347,25 +354,20 @@ def nth_ranked(
     """The entity with the n-th largest score among those in a part.
 
     All columns of both tables, and the rank. Equals are ranked by id, NULL
-    scores last. A rank that does not exist gives no row.
+    scores last. A rank that does not exist, or NULL, gives no row.
 
-    Only ids and scores of the entities go through the ranking; the one found
-    is looked up for the rest. A rank up to ``HEAP_RANKS`` needs the n best
-    rows of each task; a larger one sorts the part across tasks.
+    One plan for every n: the part is sorted across tasks and numbered by
+    :func:`dense_ids`. Only ids and scores of the entities go through the
+    ranking; the one found is looked up for the rest.
     """
     scores = entities.select(F.col(key).alias("_key"), F.col(score).alias("_score"))
     present = rollup.where(F.col(part) == F.lit(part_value)).join(
         scores, F.col(entity) == F.col("_key")
     )
     order = [F.col("_score").desc_nulls_last(), F.col("_key").asc()]
-    rank = F.lit(n).cast("int").alias(into)
-    if n is None or n < 1:
-        found = present.limit(0).select("*", rank)
-    elif n <= HEAP_RANKS:
-        found = present.orderBy(*order).offset(n - 1).limit(1).select("*", rank)
-    else:
-        numbered = dense_ids(present, order, into="_rank", start=1)
-        found = numbered.where(F.col("_rank") == n).select(*present.columns, rank)
+    numbered = dense_ids(present, order, into="_rank", start=1)
+    found = numbered.where(F.col("_rank") == F.lit(n).cast("long"))
+    found = found.select(*present.columns, F.lit(n).cast("int").alias(into))
     found = materialise(found, "ranked")
     return entities.join(found, F.col(key) == F.col("_key")).select(
         *[entities[c] for c in entities.columns], *[found[c] for c in rollup.columns], into

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,29 +31,60 @@ from callsheet.session import materialise
 Report = Callable[[Mapping[str, DataFrame]], DataFrame]
 
 
-def derive(tables: Mapping[str, DataFrame], pair_mode: str = "strict") -> dict[str, DataFrame]:
-    """Add the derived measures: turn words, rollup, pairs and part totals.
+class DerivedTables(Mapping[str, DataFrame]):
+    """The base tables and the derived ones, each made when it is first asked for.
 
-    Takes ``partition, location, entity, turn, relation, contest``. The texts
-    are measured once, into the narrow table ``turn_words``; all else is
-    aggregated from that. The texts themselves are not written again: ``turn``
-    is the given table with its count as a column.
+    A report that needs neither texts nor ids thus reads no text and writes
+    nothing. The texts are measured once, into the narrow table ``turn_words``;
+    rollup, pairs and part totals are aggregated from that. The texts themselves
+    are not written again: ``turn`` is the given table with its count.
     """
-    turns = with_word_count(tables["turn"])
-    measured = materialise(turns.select("id", "part_id", "from_id", "to_id", "word_count"), "words")
-    spoken = entity_rollup(measured).withColumnRenamed("from_id", "entity_id")
-    rollup = dense_ids(spoken, ["entity_id", "part_id"], into="relation_id")
-    per_part = measured.groupBy("part_id").agg(F.sum("word_count").alias("words"))
-    return {
-        **tables,
-        "turn": turns,
-        "turn_words": measured,
-        "rollup": rollup.select("relation_id", "entity_id", "part_id", "words"),
-        "pair": accept_pairs(pair_rollup(measured), mode=pair_mode),
-        "partition": update_from(
-            tables["partition"], "part_id", per_part, "part_id", "words_known", "words"
-        ),
-    }
+
+    def __init__(self, tables: Mapping[str, DataFrame], pair_mode: str):
+        self._base, self._mode = dict(tables), pair_mode
+        self._made: dict[str, DataFrame] = {}
+        self._makers = {
+            "turn": lambda: with_word_count(self._base["turn"]),
+            "turn_words": self._turn_words,
+            "rollup": self._rollup,
+            "pair": lambda: accept_pairs(pair_rollup(self["turn_words"]), mode=self._mode),
+            "partition": self._partition,
+        }
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._makers:
+            return self._base[name]
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter({**self._base, **self._makers})
+
+    def __len__(self) -> int:
+        return len({**self._base, **self._makers})
+
+    def _turn_words(self) -> DataFrame:
+        narrow = self["turn"].select("id", "part_id", "from_id", "to_id", "word_count")
+        return materialise(narrow, "words")
+
+    def _rollup(self) -> DataFrame:
+        spoken = entity_rollup(self["turn_words"]).withColumnRenamed("from_id", "entity_id")
+        numbered = dense_ids(spoken, ["entity_id", "part_id"], into="relation_id")
+        return numbered.select("relation_id", "entity_id", "part_id", "words")
+
+    def _partition(self) -> DataFrame:
+        per_part = self["turn_words"].groupBy("part_id").agg(F.sum("word_count").alias("words"))
+        parts = update_from(
+            self._base["partition"], "part_id", per_part, "part_id", "words_known", "words"
+        )
+        return materialise(parts, "parts")  # few rows, whose size the reports' joins then know
+
+
+def derive(tables: Mapping[str, DataFrame], pair_mode: str = "strict") -> DerivedTables:
+    """Turn words, rollup, pairs and part totals of ``partition, location, entity,
+    turn, relation, contest``, each on demand."""
+    return DerivedTables(tables, pair_mode)
 
 
 def _average_share_in_millions(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -99,9 +130,28 @@ def all_reports(
 
 
 def create_views(tables: Mapping[str, DataFrame], found: Mapping[str, DataFrame]) -> None:
-    """Offer tables and reports to SQL users as temporary views, with the function."""
+    """Offer tables and reports to SQL users as temporary views, with the function.
+
+    The views are snapshots: some reports have written their few result rows.
+    :func:`live_views` makes them anew from the tables as they are.
+    """
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     for name, df in found.items():
         df.createOrReplaceTempView(f"report_{name}")
     register_functions(next(iter(tables.values())).sparkSession)
+
+
+def live_views(
+    read_tables: Callable[[], Mapping[str, DataFrame]], pair_mode: str = "strict"
+) -> Callable[[], None]:
+    """Create the views over the tables that ``read_tables`` returns, and return a
+    function that does so again: after a base table has changed, it brings all
+    derived tables and reports to the same, current state."""
+
+    def refresh() -> None:
+        tables = derive(read_tables(), pair_mode)
+        create_views(tables, all_reports(tables))
+
+    refresh()
+    return refresh

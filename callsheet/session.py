@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +27,10 @@ SETTINGS = {
 }
 
 
+#: The temporary folders of local sessions, by application.
+_TEMPORARY: dict[str, str] = {}
+
+
 def build_session(
     app_name: str = "callsheet", master: str | None = None, **settings: str
 ) -> SparkSession:
@@ -39,25 +47,53 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing, a local session gets a temporary folder once;
-    a cluster gets an error, as a machine-local folder would not be shared.
+    Where the setting is missing, a local session gets a temporary folder once,
+    which is removed when the program ends; a cluster gets an error, as a
+    machine-local folder would not be shared.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = folder or _TEMPORARY.get(context.applicationId)
     if folder is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="callsheet-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _TEMPORARY[context.applicationId] = folder
     return folder.rstrip("/")
 
 
+def workspace(spark: SparkSession) -> str:
+    """This application's own folder in the shared folder: all that is written
+    on the way goes there, and :func:`clear_workspace` removes it."""
+    return f"{shared_folder(spark)}/callsheet-{spark.sparkContext.applicationId}"
+
+
+def clear_workspace(spark: SparkSession) -> None:
+    """Remove what this application has written on the way.
+
+    For when its results have been read or stored: a DataFrame that still reads
+    an intermediate fails afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(workspace(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def own_workspace(spark: SparkSession) -> Iterator[str]:
+    """``with own_workspace(spark):`` clears the workspace at the end of the block."""
+    try:
+        yield workspace(spark)
+    finally:
+        clear_workspace(spark)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a fresh Parquet folder in the shared folder; read it back.
+    """Write ``df`` to a fresh Parquet folder in the workspace; read it back.
 
     The result has no lineage behind it: a lost executor costs a re-read, and
     values that depend on row placement stay as they were written.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{workspace(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,14 +1,31 @@
 """Reading and writing tables, and turning transcripts into turns."""
 
-from callsheet.sources.tables import append_rows, literal_rows, read_table, replace_table
-from callsheet.sources.transcripts import read_transcripts, speaker_words, to_turns
+from callsheet.sources.tables import (
+    append_numbered,
+    append_rows,
+    literal_rows,
+    read_table,
+    replace_table,
+)
+from callsheet.sources.transcripts import (
+    escaped,
+    read_transcripts,
+    speaker_words,
+    to_turns,
+    unescaped,
+    unlisted,
+)
 
 __all__ = [
+    "append_numbered",
     "append_rows",
+    "escaped",
     "literal_rows",
     "read_table",
     "read_transcripts",
     "replace_table",
     "speaker_words",
     "to_turns",
+    "unescaped",
+    "unlisted",
 ]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from callsheet.operators.keys import dense_ids
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Scan Parquet with a declared schema; nothing is inferred."""
@@ -36,16 +39,78 @@ def _clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *[F.col(c) for c in partition_by])
 
 
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def append_rows(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Add the rows of a query to a table."""
+    """Add the rows of a query to a table of the same columns and types.
+
+    A table that exists is compared with the query first; a query with other
+    columns, or other types of stored columns, is an error and adds nothing.
+    """
+    where, files = _filesystem(df.sparkSession, path)
+    if files.exists(where):
+        stored = {f.name: f.dataType for f in df.sparkSession.read.parquet(path).schema.fields}
+        added = {f.name: f.dataType for f in df.schema.fields}
+        other = {
+            name
+            for name in stored.keys() | added.keys()
+            # a folder's name does not tell its column's type
+            if name not in stored
+            or name not in added
+            or (name not in partition_by and stored[name] != added[name])
+        }
+        if other:
+            raise ValueError(f"the table has other columns: {', '.join(sorted(other))}")
     _clustered(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the result of a query as the table's whole content; read it back.
 
-    Running it twice leaves the same table, so a derivation can be repeated.
-    The query must not read the path it replaces.
+    The rows are written to a folder beside the table, and only when they are
+    there does that folder take the table's place. So the query may read the
+    table it replaces, a failed write leaves the old table, and running it twice
+    leaves the same table, so a derivation can be repeated.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    staged = f"{path.rstrip('/')}.staged-{mark}"
+    _clustered(df, partition_by).write.partitionBy(*partition_by).parquet(staged)
+    fresh, files = _filesystem(spark, staged)
+    target, _ = _filesystem(spark, path)
+    old, _ = _filesystem(spark, f"{path.rstrip('/')}.old-{mark}")
+    had = files.exists(target)
+    if had and not files.rename(target, old):
+        raise OSError(f"{path} could not be set aside; the new rows are in {staged}")
+    if not files.rename(fresh, target):
+        if had:
+            files.rename(old, target)
+        raise OSError(f"{path} could not be replaced; the new rows are in {staged}")
+    if had:
+        files.delete(old, True)
+    spark.catalog.refreshByPath(path)
+    return read_table(spark, path, df.schema).select(*df.columns)
+
+
+def append_numbered(
+    df: DataFrame,
+    path: str,
+    order_by: Sequence[str | Column],
+    into: str = "id",
+    partition_by: Sequence[str] = (),
+) -> None:
+    """Add rows under ids that go on from the largest id of the table.
+
+    The first load starts at 0. Within a load the ids follow ``order_by``, which
+    must tell the rows apart. One load at a time: two at once would both go on
+    from the same id.
     """
-    _clustered(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return read_table(df.sparkSession, path, df.schema).select(*df.columns)
+    spark = df.sparkSession
+    where, files = _filesystem(spark, path)
+    start = 0
+    if files.exists(where):
+        largest = spark.read.parquet(path).agg(F.max(into)).first()[0]
+        start = 0 if largest is None else largest + 1
+    append_rows(dense_ids(df, order_by, into, start), path, partition_by)

@@ -10,7 +10,8 @@ from __future__ import annotations
 WORDS = "length(rtrim(text, ' ')) - length(replace(text, ' ', '')) + 1"
 FLOW = """
     flow AS (
-        SELECT l_orderkey, l_linenumber, l_returnflag, s_nationkey AS from_id,
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag,
+               s_nationkey AS from_id,
                c_nationkey AS to_id, CAST(l_quantity AS BIGINT) AS qty
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey
@@ -155,7 +156,7 @@ def _integrity_sql() -> str:
 
 WORKLOAD = f"""
     turns AS (
-        SELECT conv_id * 1000000 + turn AS id, CAST(turn % 3 + 4 AS INTEGER) AS part_id,
+        SELECT {{'conv': conv_id, 'turn': turn}} AS id, CAST(turn % 3 + 4 AS INTEGER) AS part_id,
                CAST(conv_id % 25 AS INTEGER) AS from_id,
                CAST(nullif((conv_id + turn) % 25, 24) AS INTEGER) AS to_id,
                text, CAST({WORDS} AS BIGINT) AS words
@@ -318,18 +319,28 @@ def sql_texts() -> dict[str, str]:
                    CAST({WORDS} AS BIGINT) AS word_count
             FROM conversations WHERE role IN ('user', 'assistant', 'system')""",
         "transcript_files": f"""
-            WITH lines AS (
-                SELECT role, turn,
-                       ltrim(translate(text, chr(10) || chr(13), '  '), ' ' || chr(9)) AS text
-                FROM conversations
-            )
             SELECT CAST(4 + turn % 2 AS INTEGER) AS part_id,
                    CASE WHEN role = 'user' THEN 0 ELSE 1 END AS from_id,
                    CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 END AS to_id,
                    count(*) AS turns, CAST(sum({WORDS}) AS BIGINT) AS words
-            FROM lines WHERE role IN ('user', 'assistant', 'system') GROUP BY 1, 2, 3""",
+            FROM conversations WHERE role IN ('user', 'assistant', 'system') GROUP BY 1, 2, 3""",
+        "transcript_rejects": """
+            SELECT CASE WHEN role IN ('user', 'assistant') THEN 'accepted'
+                        ELSE 'unlisted speaker' END AS reject,
+                   CAST(sum(1 + length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS n
+            FROM (SELECT role, regexp_replace(text, '\\n+', chr(10), 'g') AS text
+                  FROM conversations)
+            GROUP BY 1
+            UNION ALL SELECT 'direction', count(*) FROM conversations""",
+        "self_replaced": f"""
+            SELECT source AS word_group, CAST(sum({WORDS}) AS BIGINT) AS words
+            FROM documents GROUP BY source HAVING sum({WORDS}) % 2 = 0""",
+        "appended_ids": """
+            SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id % 2, conv_id, turn) - 1
+                   AS dialogue_id
+            FROM conversations""",
         "speaker_words": f"""
-            SELECT role AS speaker, CAST(turn % 2 + 1 AS INTEGER) AS source_part,
+            SELECT upper(role) AS speaker, CAST(turn % 2 + 1 AS INTEGER) AS source_part,
                    CAST(sum({WORDS}) AS BIGINT) AS words
             FROM conversations
             WHERE lower(role) LIKE '%sys%' OR lower(role) LIKE '%assist%' GROUP BY 1, 2""",
@@ -421,6 +432,19 @@ def sql_texts() -> dict[str, str]:
             FROM shares""",
         "pair_totals": _pair_totals_sql(FLOW, names=False),
         "pair_totals_named": _pair_totals_sql(OPEN_FLOW, names=True),
+        "pair_totals_text": f"""
+            WITH {FLOW},
+            ranked AS (
+                SELECT *, row_number() OVER (
+                    PARTITION BY greatest(from_id, to_id), least(from_id, to_id)
+                    ORDER BY qty DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate
+                ) AS rn
+                FROM flow
+            )
+            SELECT greatest(from_id, to_id) AS hi_id, least(from_id, to_id) AS lo_id,
+                   CAST(sum(qty) AS BIGINT) AS words,
+                   max(CASE WHEN rn = 1 THEN l_returnflag END) AS example
+            FROM ranked GROUP BY 1, 2""",
         "longest_lines": f"""
             WITH turns AS (
                 SELECT CASE WHEN role = 'system' THEN NULL ELSE 1 END AS hi_id,
@@ -440,7 +464,8 @@ def sql_texts() -> dict[str, str]:
         "flag_wins": _wins_sql(winner_aware=False),
         "flag_wins_winner_aware": _wins_sql(winner_aware=True),
         "nth_ranked": _ranked_sql(2),
-        "nth_ranked_empty": _ranked_sql(0),
+        "nth_ranked_late": _ranked_sql(150),
+        "nth_ranked_empty": _ranked_sql(1_000_000_000),
         "pair_totals_view": f"""
             SELECT hi_name AS name, words, example
             FROM ({_pair_totals_sql(OPEN_FLOW, names=True)}) JOIN nation ON hi_id = n_nationkey
@@ -482,6 +507,9 @@ def sql_texts() -> dict[str, str]:
         "cascade_second_level": """
             SELECT s_suppkey, s_nationkey FROM supplier
             WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""",
+        "refused": """
+            SELECT c_custkey, c_nationkey FROM customer
+            JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 0""",
         "set_null": """
             SELECT c_custkey, CASE WHEN n_regionkey <> 0 THEN c_nationkey END AS c_nationkey
             FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from tables import rows
 
-from callsheet.operators import DeleteRefused, delete_rows, orphans
+from callsheet.operators import DeleteRefused, delete_rows, orphans, refusals
 from callsheet.schemas import CASCADE, FOREIGN_KEYS, REFUSE, ForeignKey
 
 
@@ -50,3 +50,28 @@ def test_cascade_runs_level_by_level(spark):
     assert rows(after["a"]) == [(2,), (None,)]
     assert rows(after["b"]) == [(20, 2)]
     assert rows(after["c"]) == [(200, 20), (300, None)]
+
+
+def test_references_in_a_circle_end(spark):
+    """A chain of three within one table, and two tables that refer to each other."""
+    staff = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None), (5, 5)], "id int, boss int")
+    link = ForeignKey("staff", "boss", "staff", "id", CASCADE)
+    after = delete_rows({"staff": staff}, [link], "staff", F.col("id") == 1)
+    assert rows(after["staff"]) == [(4, None), (5, 5)]
+    after = delete_rows({"staff": staff}, [link], "staff", F.col("id") == 5)
+    assert rows(after["staff"].select("id")) == [(1,), (2,), (3,), (4,)]
+    a = spark.createDataFrame([(1, 20), (2, 10), (3, None)], "id int, b int")
+    b = spark.createDataFrame([(10, 1), (20, 2), (30, 3)], "id int, a int")
+    links = [ForeignKey("b", "a", "a", "id", CASCADE), ForeignKey("a", "b", "b", "id", CASCADE)]
+    after = delete_rows({"a": a, "b": b}, links, "a", F.col("id") == 1)
+    assert rows(after["a"]) == [(3, None)]
+    assert rows(after["b"]) == [(30, 3)]
+
+
+def test_refusals_are_the_rows_that_block(spark):
+    node = spark.createDataFrame([(1,), (2,)], "id int")
+    edge = spark.createDataFrame([(7, 1), (8, 2), (9, None)], "id int, node int")
+    links = [ForeignKey("edge", "node", "node", "id", REFUSE)]
+    found = refusals({"node": node, "edge": edge}, links, "node", F.col("id") == 1)
+    assert rows(found["edge"]) == [(7, 1)]
+    assert refusals({"node": node, "edge": edge}, links, "node", F.col("id") == 5) == {}

@@ -56,3 +56,12 @@ def test_strict_load_fails_as_a_whole(turns):
     assert rows(accept_pairs(good)) == rows(good)
     with pytest.raises(ValueError, match="mode"):
         accept_pairs(pairs, mode="lenient")
+
+
+def test_an_update_with_repeated_keys_is_an_error(spark):
+    dim = spark.createDataFrame([(1, 0), (2, 0)], "id int, total int")
+    once = spark.createDataFrame([(1, 5), (None, 6), (None, 7)], "k int, n int")
+    assert rows(update_from(dim, "id", once, "k", "total", "n")) == [(1, 5), (2, 0)]
+    twice = spark.createDataFrame([(1, 5), (1, 6)], "k int, n int")
+    with pytest.raises(Exception, match="several rows for 1"):
+        update_from(dim, "id", twice, "k", "total", "n").collect()

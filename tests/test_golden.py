@@ -3,7 +3,7 @@
 import pytest
 from tables import rows, seed_tables
 
-from callsheet.plans import all_reports, create_views, derive, nth_ranked
+from callsheet.plans import all_reports, create_views, derive, live_views, nth_ranked
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,17 @@ def test_a_second_derivation_gives_the_same(spark, derived):
     again = derive(seed_tables(spark))
     for name in ("turn", "rollup", "pair", "partition"):
         assert rows(again[name]) == rows(derived[name])
+
+
+def test_views_follow_a_replaced_base_table(spark):
+    tables = dict(seed_tables(spark))
+    refresh = live_views(lambda: tables)
+    most = "SELECT part_id, entity_id FROM report_most_share ORDER BY part_id"
+    first = rows(spark.sql(most))
+    assert first[0] == (4, 0)
+    turn = tables["turn"]
+    tables["turn"] = turn.where((turn["part_id"] != 4) | (turn["from_id"] != 0))
+    refresh()
+    again = rows(spark.sql(most))
+    assert again[0] == (4, 2) and again[1:] == first[1:]
+    assert spark.sql("SELECT count(*) FROM rollup WHERE part_id = 4 AND entity_id = 0").first()[0] == 0

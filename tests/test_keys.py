@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from callsheet import session
 from callsheet.operators import dense_ids, fill_defaults, keys
-from callsheet.session import materialise, shared_folder
+from callsheet.session import clear_workspace, materialise, own_workspace, shared_folder, workspace
 
 
 def test_dense_ids_follow_the_order(spark):
@@ -61,13 +62,39 @@ def test_materialise_reads_the_cluster_setting(spark):
 
 
 def _session(master):
-    session = MagicMock()
-    session.conf.get.side_effect = lambda key, default=None: default
-    session.sparkContext = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
-    return session
+    found = MagicMock()
+    found.conf.get.side_effect = lambda key, default=None: default
+    found.sparkContext = SimpleNamespace(
+        master=master, getCheckpointDir=lambda: None, applicationId=master
+    )
+    return found
 
 
 def test_a_cluster_without_shared_folder_is_an_error():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(_session("spark://host:7077"))
-    assert shared_folder(_session("local[2]"))
+    folder = shared_folder(_session("local[2]"))
+    assert folder and shared_folder(_session("local[2]")) == folder
+
+
+def test_columns_without_a_place_are_an_error(spark):
+    df = spark.createDataFrame([(1, 5)], "id int, sunz int")
+    with pytest.raises(ValueError, match="sunz"):
+        fill_defaults(df, StructType.fromDDL("id INT, suns INT"), {"suns": 1})
+
+
+def test_a_range_that_is_too_long_is_an_error(spark, monkeypatch):
+    """The mark of a row that no longer shows its range."""
+    monkeypatch.setattr(keys.F, "monotonically_increasing_id", lambda: F.lit(1 << 40))
+    with pytest.raises(Exception, match="more than 2"):
+        dense_ids(spark.range(3).toDF("k"), ["k"]).collect()
+
+
+def test_the_workspace_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    with own_workspace(spark) as folder:
+        assert folder == workspace(spark) and folder.startswith(str(tmp_path))
+        assert materialise(spark.range(3), "probe").count() == 3
+        assert any(tmp_path.iterdir())
+    assert not any(p for p in tmp_path.iterdir() if not p.name.startswith("."))
+    clear_workspace(spark)  # nothing there is no error

@@ -4,6 +4,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from tables import rows, table
 
 from callsheet.plans import (
@@ -15,7 +16,6 @@ from callsheet.plans import (
     pair_totals,
     top_with_related,
 )
-from callsheet.plans import reports as report_module
 
 
 def entities(spark, *found):
@@ -173,6 +173,14 @@ def test_pair_totals(spark):
     assert rows(pair_totals(said, text=None))[0] == (2, 1, 13, 1)
 
 
+def test_pair_totals_with_a_key_of_several_columns(spark):
+    said = turns(spark, (0, 1, 2, "a", 5), (0, 1, 2, "b", 5), (1, 3, 3, "c", 1))
+    keyed = said.withColumn("line", F.when(F.col("text") == "a", 2).otherwise(1))
+    assert rows(pair_totals(keyed, turn=("id", "line"))) == [(2, 1, 10, "b"), (3, 3, 1, "c")]
+    with pytest.raises(Exception, match="a turn id has several texts"):
+        pair_totals(said).collect()
+
+
 # --- flags ---
 
 
@@ -194,9 +202,7 @@ def test_flag_wins(spark):
 # --- n-th ranked ---
 
 
-@pytest.mark.parametrize("heap_ranks", [100, 0])
-def test_nth_ranked(spark, monkeypatch, heap_ranks):
-    monkeypatch.setattr(report_module, "HEAP_RANKS", heap_ranks)
+def test_nth_ranked(spark):
     people = entities(
         spark,
         (1, "a", 5, None, None),

@@ -2,7 +2,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from callsheet.functions import joined_names, register_functions, stored_length, word_count
+from callsheet.functions import joined_names, register_functions, word_count
 
 EDGES = {
     "": 1,
@@ -32,19 +32,6 @@ def test_word_count_in_sql(spark):
     assert {r.text: r.n for r in counted} == EDGES
 
 
-def test_word_count_of_a_cut_text(spark):
-    df = spark.createDataFrame([("ab cd ef",)], "text string")
-    cut = df.select(
-        word_count(F.col("text"), 5), word_count(F.col("text"), 6), word_count(F.col("text"), 7)
-    )
-    assert tuple(cut.first()) == (2, 2, 3)
-
-
-def test_stored_length_drops_trailing_blanks_only(spark):
-    df = spark.createDataFrame([(" é  ",), ("a\t",), (None,)], "text string")
-    assert [r[0] for r in df.select(stored_length(F.col("text"))).collect()] == [2, 2, None]
-
-
 def test_joined_names(spark):
     df = spark.createDataFrame(
         [(1, "b"), (1, "a"), (1, None), (1, "b"), (2, None)], "k int, name string"
