@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.llm.words import hashes_of, mixed, sliding, stretches, words_of
+from callsheet.llm.words import BASE, hashes_of, mixed, sliding, stretches, words_of
 from callsheet.session import materialise
 
 #: Words of a window, and of the prefix that splits suffixes into groups.
-WINDOW, PREFIX = 35, 16
+WINDOW, PREFIX = 35, 8
 #: Prefixes that start in a window; a shared window shares the least of them.
 STARTS = WINDOW - PREFIX + 1
 #: Suffixes that share a short prefix and are put together in one task.
@@ -174,9 +174,11 @@ def _suffixes_of(text: str, hot: list[dict]):
     last, first = STARTS - 1 - np.argmax(own[:, ::-1], axis=1), np.argmax(own, axis=1)
     if many.any():
         windows = stretches(hashes, WINDOW)
-        for row, offset in zip(*np.nonzero(own & many[:, None]), strict=True):
-            place = int(places[row])
-            yield WIDE, int(windows[place - offset]), 1 << int(offset), b"", place
+        rows, offset = np.nonzero(own & many[:, None])
+        # with the offset: a window may have equal least prefixes, and isn't its own repeat
+        keys = mixed(windows[places[rows] - offset] + offset.astype(np.uint64) * np.uint64(BASE))
+        for key, place, o in zip(keys.tolist(), places[rows].tolist(), offset.tolist(), strict=True):
+            yield WIDE, key, 1 << o, b"", place
     narrow = np.flatnonzero(~many)
     if len(narrow):
         span = np.arange(-(STARTS - 1), WINDOW)
@@ -193,11 +195,11 @@ def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """A task's suffixes; of equal ones the first goes to the group of its prefix
     with their number, the others are known to be repeated and go anywhere."""
     rows: dict[tuple, list] = {}
-    passed: list[tuple] = []
+    passed: dict[tuple, int] = defaultdict(int)  # all such windows of an anchor at once
 
     def hand_on() -> Iterator[pa.RecordBatch]:
         own = [(k, key, n, m, w, *ref) for (k, key, m, w), (n, ref) in rows.items()]
-        more = [(PASSED, i, 1, m, b"", *ref) for i, (m, ref) in enumerate(passed)]
+        more = [(PASSED, i, 1, m, b"", *ref) for i, (ref, m) in enumerate(passed.items())]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         kinds += [pa.int64(), pa.int64(), pa.int32()]
         every = own + more
@@ -219,7 +221,7 @@ def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     rows[(kind, signed, mask, words)] = [1, (doc, text_hash, place)]
                 else:
                     found[0] += 1
-                    passed.append((mask, (doc, text_hash, place)))
+                    passed[(doc, text_hash, place)] |= mask
         if len(rows) + len(passed) >= GATHERED // 4:
             yield from hand_on()
             rows.clear()
@@ -312,7 +314,7 @@ def _covered(n_words: int, repeated: list[dict]) -> np.ndarray:
     return np.cumsum(step[:n_words]) > 0
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], layout: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, kept = [], [], []
         repeated = batch.column("repeated").to_pylist()
@@ -323,7 +325,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 covered = _covered(len(words), found)
                 words = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
             n_removed.append(n_words[-1] - len(words))
-            kept.append(" ".join(words))
+            kept.append(text if layout and not n_removed[-1] else " ".join(words))
         names = [n for n in batch.schema.names if n not in ("hash", "text", "repeated")]
         yield pa.RecordBatch.from_arrays(
             [
@@ -340,19 +342,23 @@ def _same_row(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["hash"] == right["_hash"])
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row of ``docs`` as ``row`` (a struct), with ``n_words``, ``n_removed``
-    and ``kept``: the words outside all repeated 35-word windows, joined by blanks.
+def without_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", layout: bool = False
+) -> DataFrame:
+    """Each row of ``docs`` as ``row`` (a struct of the columns but the text, and
+    ``no_text``, true for a null one), with ``n_words``, ``n_removed`` and ``kept``:
+    the words outside all repeated 35-word windows, joined by blanks. With
+    ``layout`` a text that loses no words is kept as it was written.
 
     A window is repeated when its words also start anywhere else in the corpus,
     in the same document too; all its occurrences go, none is spared.
 
-    1. Anchors: each window's least 16-word prefix. Equal windows have equal
+    1. Anchors: each window's least 8-word prefix. Equal windows have equal
        anchors, so only anchors that occur twice or more can bear repeats. Equal
        anchors of a task are counted before the shuffle, so a group gets at most
        a row per task, however often a passage comes.
     2. Documents with shared anchors send, per anchor, the suffix that starts
-       there with its left context, to the group of its 16-word prefix. Prefixes
+       there with its left context, to the group of its 8-word prefix. Prefixes
        with more than 20,000 occurrences are lengthened to whole windows, which
        again are counted before the shuffle.
     3. Each group is a suffix tree of bounded size (``repeated_masks``).
@@ -364,7 +370,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(
-        F.struct(*others).alias("row"),
+        F.struct(*others, F.col(text).isNull().alias("no_text")).alias("row"),
         F.col(key).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.xxhash64(text).alias("hash"),
@@ -373,8 +379,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = narrow.mapInArrow(_find_anchors, ANCHOR)
     dealt = found.repartition("route").sortWithinPartitions("kind", "key")
     shared = materialise(dealt.mapInArrow(_shared_anchors, SHARED), "shared-anchors")
+    # written, so that its size is known and the hot keys need not be shuffled for it
     many = shared.groupBy("key").count().where(F.col("count") > GROUP)
-    sized = shared.join(many, "key", "left")
+    sized = shared.join(materialise(many, "long-prefixes"), "key", "left")
     hot = sized.groupBy(F.col("doc_id").alias("_doc_id"), F.col("hash").alias("_hash")).agg(
         F.collect_set(F.struct("pos", F.col("count").isNotNull().alias("many"))).alias("hot")
     )
@@ -388,7 +395,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     marked = rows.join(repeated, _same_row(rows, repeated), "left").drop("_doc_id", "_hash")
     row_type = rows.schema["row"].dataType.simpleString()
     return marked.mapInArrow(
-        _remove,
+        lambda batches: _remove(batches, layout),
         f"row {row_type}, doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept STRING",
     )
 
