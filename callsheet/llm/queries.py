@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from callsheet.llm import bpe, languages, near, packing, quality, secrets, shards, substrings, token_files, topk
 from callsheet.llm.common import ship, table
 
@@ -76,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "pipeline": corpus_pipeline.run,
     }
 
 
