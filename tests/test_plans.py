@@ -77,6 +77,13 @@ def test_each_report_writes_only_what_it_needs(spark, monkeypatch):
         assert sorted(written) == sorted(labels), name
 
 
+def test_a_table_s_rules_and_key_take_one_scan(spark, whole_plans):
+    text = plan(registered.queries()["integrity_report"](spark, SF_DIR)).split("\n\n")
+    scans = [n for n in text if n.startswith("(") and "Scan parquet" in n.split("\n")[0]]
+    of = {t: sum(f"{SF_DIR}/{t}.parquet" in n for n in scans) for t in ("lineitem", "documents")}
+    assert of == {"lineitem": 2, "documents": 2}
+
+
 def test_the_related_names_read_each_table_once_beside_the_fold(spark, whole_plans):
     text = plan(registered.queries()["top_with_related"](spark, SF_DIR)).split("\n\n")[0]
     assert text.count("HashAggregate") >= 4

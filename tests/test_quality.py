@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from tables import rows, seed_tables, table
 
@@ -77,3 +78,8 @@ def test_integrity_finds_each_kind(spark):
     assert found["location", "name is longer than 20"] == 1
     assert found["contest", "part_id_is_one_byte"] == 1
     assert found["contest", "part_id has no partition"] == 1
+
+
+def test_a_report_on_nothing_is_an_error():
+    with pytest.raises(ValueError, match="no rules"):
+        integrity_report({}, {})
