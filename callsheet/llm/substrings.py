@@ -22,7 +22,7 @@ GROUP = 20_000
 #: Bytes of a word's hash that a suffix carries.
 BYTES = 6
 #: Rows that a task gathers before it hands them on.
-GATHERED = 1_000_000
+GATHERED = 400_000
 
 REF = "doc_id BIGINT, hash BIGINT, pos INT"
 OWN, PASSED = 0, 2
