@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsheet.llm.tokens import texts, word_ids
-from callsheet.session import materialise, shared_folder
+from callsheet.session import materialise, workspace
 
 #: Ids in a sequence, and sequences in a record batch.
 SEQUENCE, BATCH = 2048, 64
@@ -106,7 +106,7 @@ def write_token_files(
     first; rows with one key follow their text's hash, repeated rows stay; no
     rows give no files. Other columns are not read.
     """
-    folder = f"{shared_folder(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    folder = f"{workspace(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else f"file://{folder}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

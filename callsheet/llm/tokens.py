@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,16 @@ class WordIds(dict):
     The vocabulary's pattern never matches across white space and its
     normaliser works on characters, so the ids of a text are the ids of its
     stretches one after another, and a stretch is encoded once for all its
-    occurrences. Plain ASCII stretches skip the library's normaliser, which
-    would only lower their letters; the merges are always the library's.
+    occurrences. Stretches that are normal already skip the library's
+    normaliser, which would only lower their letters; the merges are always the
+    library's.
     Stretches with a special token's text go through the library whole.
     """
 
     #: The vocabulary's own split pattern.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Letters that Python lowers by their place in a word, and the library doesn't.
+    LOWERED_BY_PLACE = re.compile("\u03a3")
     ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str):
@@ -48,16 +52,20 @@ class WordIds(dict):
         self.normalizer = self.tokenizer.normalizer
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        whole = np.arange(size, dtype="<u4").tobytes()
+        self.written = [whole[i : i + 4] for i in range(0, len(whole), 4)]
 
     def __missing__(self, word: str) -> bytes:
         if any(token in word for token in self.special):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             found = np.array(ids, "<u4").tobytes()
         elif word.isascii() and word.isprintable():
-            found = b"".join(map(self.piece, self.ASCII_PIECES.findall(word.lower())))
+            found = self.joined(self.ASCII_PIECES.findall(word.lower()))
+        elif is_normalized("NFC", word) and not self.LOWERED_BY_PLACE.search(word):
+            found = self.joined(self.PIECES.findall(word.lower()))
         else:
-            plain = self.normalizer.normalize_str(word)
-            found = b"".join(map(self.piece, self.PIECES.findall(plain)))
+            found = self.joined(self.PIECES.findall(self.normalizer.normalize_str(word)))
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -65,12 +73,14 @@ class WordIds(dict):
             self[word] = found
         return found
 
+    def joined(self, pieces: list[str]) -> bytes:
+        return self.piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
+
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
             coded = piece if piece.isascii() and piece.isprintable() else _coded(piece)
-            ids = [token.id for token in self.model.tokenize(coded)]
-            found = np.array(ids, "<u4").tobytes()
+            found = b"".join([self.written[token.id] for token in self.model.tokenize(coded)])
             if len(piece) <= LONGEST:
                 if len(self.pieces) >= REMEMBERED:
                     self.pieces.clear()
