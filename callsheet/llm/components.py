@@ -35,11 +35,13 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
             F.col("v").alias("a"), F.col("m").alias("b")
         )
         large = materialise(large.where("a <> b").distinct(), label)
+        if print_of(large) == seen:  # stars already
+            break
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        turned = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        turned = large.join(low, "a").where("b <> m").select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        )
         now = materialise(turned.union(low.select("a", "m")).distinct(), label)
-        was, seen = seen, print_of(now)
-        if was == seen:
-            break
+        seen = print_of(now)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
