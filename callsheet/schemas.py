@@ -3,6 +3,8 @@
 Parquet enforces none of these rules; ``operators.quality`` checks them as jobs
 and ``operators.deletes`` applies the delete actions. One-byte unsigned part
 numbers are held as ``short`` with a range check, as Spark's ``byte`` is signed.
+Types, lengths, keys, defaults and delete actions are fixed values: results that
+should equal the original's need them as they are.
 """
 
 from __future__ import annotations
