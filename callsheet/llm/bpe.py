@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from callsheet.llm.tokens import BYTE_CHARS, texts
 
 #: Distinct stretches of text a worker remembers; longer ones than LONGEST never.
-REMEMBERED, LONGEST = 400_000, 100
+REMEMBERED, LONGEST = 200_000, 100
 #: Symbols merged together, and characters of text taken, at a time.
-BLOCK, PORTION = 1 << 21, 1 << 23
+BLOCK, PORTION = 1 << 18, 1 << 20
 NEVER = np.iinfo(np.int64).max
 
 
