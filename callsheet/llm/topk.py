@@ -78,20 +78,20 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own:
         rest = ids[~seen]
         return _best(rest, np.zeros(len(rest), rows.dtype), k)
     weight, from_top = query[used], query[used] > 0
-    order, values = order[:, used], values[:, used]
+    high, low = used[from_top], used[~from_top]
     at, depth = 0, FIRST_DEPTH
     while at < n:
         end = min(n, at + depth)
         met = np.zeros(n, bool)
-        met[order[n - end : n - at][:, from_top]] = True
-        met[order[at:end][:, ~from_top]] = True
+        met[order[n - end : n - at, high]] = True
+        met[order[at:end, low]] = True
         met &= ~seen
         seen |= met
         new = np.flatnonzero(met)
         if len(new):
             scores = rows[new] @ query
             best_ids, best = _best(np.r_[best_ids, ids[new]], np.r_[best, scores], k)
-        bound = (weight * np.where(from_top, values[n - end], values[end - 1])).sum()
+        bound = (weight * np.where(from_top, values[n - end, used], values[end - 1, used])).sum()
         if len(best) == k and best[-1] > bound:
             break
         at, depth = end, depth * 2
@@ -113,7 +113,7 @@ def _search_group(k: int):
             kind = np.float64 if bound < 2**53 else object
             order = np.argsort(matrix, axis=0, kind="stable")
             matrix = matrix.astype(kind)
-            lists = order, np.take_along_axis(matrix, order, 0)
+            lists = order.astype(np.int32), np.take_along_axis(matrix, order, 0)
             own = queries.column("vec_id").to_pylist()
             for query_id, query in zip(own, asked.astype(kind), strict=True):
                 best_ids, best = threshold_search(ids, matrix, query, query_id, k, lists)
