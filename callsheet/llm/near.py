@@ -27,6 +27,8 @@ LEAST_EQUAL = 38
 BUCKETS = 1 << 16
 #: Texts that are compared with each other in one task.
 GROUP = 4096
+#: Pairs that are held at a time.
+PAIRS = 1 << 21
 #: Shingles whose samples are drawn together.
 BLOCK = 1 << 14
 
@@ -193,11 +195,16 @@ def weighted_jaccard(a, b) -> float:
     return common / max(float(a[1].sum()) + float(b[1].sum()) - common, 1e-300)
 
 
-def links_within(marks: np.ndarray, profile, n: int) -> Iterator[tuple[int, int]]:
+def links_within(
+    marks: np.ndarray, profile, n: int, split: int = 0, earlier: np.ndarray | None = None
+) -> Iterator[tuple[int, int]]:
     """Links that connect whatever is similar among ``n`` texts, at most n - 1.
 
-    All pairs with enough equal samples are compared, the likeliest first, but
-    for those that are connected already.
+    All pairs with enough equal samples are compared, the likeliest first among
+    some millions, but for those that are connected already. With ``split``,
+    only pairs of one of the first ``split`` texts and one of the others are
+    meant. Pairs with an equal value in a row of ``earlier`` (a row per band)
+    are left to the bucket of that band.
     """
     parent = list(range(n))
 
@@ -207,57 +214,79 @@ def links_within(marks: np.ndarray, profile, n: int) -> Iterator[tuple[int, int]
             i = parent[i]
         return i
 
-    firsts, seconds, equals = [], [], []
-    for i in range(n - 1):
-        equal = (marks[i + 1 :] == marks[i]).sum(axis=1)
-        near = np.flatnonzero(equal >= LEAST_EQUAL)
+    turned = np.ascontiguousarray(marks.T)
+    known: dict[int, tuple] = {}
+    firsts, seconds, equals, size = [], [], [], 0
+    last = (split or n) - 1
+    roots = np.arange(n)
+    for i in range(last + 1):
+        start = split or i + 1
+        equal = (turned[:, start:] == turned[:, i : i + 1]).sum(axis=0, dtype=np.uint8)
+        near = np.flatnonzero((equal >= LEAST_EQUAL) & (roots[start:] != roots[i]))
+        if earlier is not None and len(near):
+            near = near[~(earlier[:, near + start] == earlier[:, i : i + 1]).any(axis=0)]
         if len(near):
             firsts.append(np.full(len(near), i))
-            seconds.append(near + i + 1)
-            equals.append(equal[near])
-    if not firsts:
-        return
-    first, second = np.concatenate(firsts), np.concatenate(seconds)
-    order = np.argsort(-np.concatenate(equals), kind="stable")
-    known: dict[int, tuple] = {}
-    for i, j in zip(first[order].tolist(), second[order].tolist(), strict=True):
-        if root(i) != root(j):
-            for k in (i, j):
-                if k not in known:
-                    known[k] = profile(k)
-            if weighted_jaccard(known[i], known[j]) >= SIMILAR:
-                parent[root(j)] = root(i)
-                yield i, j
+            seconds.append(near + start)
+            equals.append(equal[near].astype(np.int64))
+            size += len(near)
+        if size >= PAIRS or (i == last and size):
+            first, second = np.concatenate(firsts), np.concatenate(seconds)
+            order = np.argsort(-np.concatenate(equals), kind="stable")
+            for a, b in zip(first[order].tolist(), second[order].tolist(), strict=True):
+                if root(a) != root(b):
+                    for k in (a, b):
+                        if k not in known:
+                            known[k] = profile(k)
+                    if weighted_jaccard(known[a], known[b]) >= SIMILAR:
+                        parent[root(b)] = root(a)
+                        yield a, b
+            firsts, seconds, equals, size = [], [], [], 0
+            roots = np.array([root(k) for k in range(n)])
 
 
 def _compare(idf: np.ndarray):
-    """Sorted rows of (grp, node) to verified links; a group is at most a task's."""
+    """Sorted rows of (grp, node) to verified links; a group is at most a task's.
+
+    The rows of a group with ``side`` 0 and 1 are two blocks of a wide bucket,
+    whose texts are compared across; all others are compared with one another.
+    """
 
     def resolve(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        nodes = {row[1]: row for row in rows}  # repeated rows stand once
-        rows = list(nodes.values())
         if len(rows) < 2:
             return []
+        rows.sort(key=lambda r: r[4])  # stable
+        split = sum(r[4] == 0 for r in rows)
+        if split == len(rows):
+            split = 0
+        elif not split and rows[0][4] == 1:  # the other block is empty
+            return []
         marks = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), SAMPLES)
+        earlier = None
+        if rows[0][5] is not None:
+            bands = np.array([r[5] for r in rows], np.int64).T
+            own = np.flatnonzero(bands[:, 0] == int(rows[0][0].split()[1]))[0]
+            earlier = np.ascontiguousarray(bands[:own])
 
         def profile(i: int):
             shingles, counts = shingles_of(rows[i][3])
             return shingles, (counts * idf[_bucket(shingles)]).astype(np.float64)
 
-        return [(rows[i][1], rows[j][1]) for i, j in links_within(marks, profile, len(rows))]
+        links = links_within(marks, profile, len(rows), split, earlier)
+        return [(rows[i][1], rows[j][1]) for i, j in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
             found = []
-            columns = (batch.column(c).to_pylist() for c in ("grp", "node", "mark", "text"))
+            names = ("grp", "node", "mark", "text", "side", "bands")
+            columns = (batch.column(c).to_pylist() for c in names)
             for row in zip(*columns, strict=True):
-                # a group beyond the bound is compared in parts that share a text
-                if row[0] != group or len(held) >= 2 * GROUP:
+                if row[0] != group:
                     found += resolve(held)
-                    held = held[:1] if row[0] == group else []
-                    group = row[0]
-                held.append(row)
+                    group, held = row[0], []
+                if not held or held[-1][1] != row[1]:  # repeated rows stand once
+                    held.append(row)
             if found:
                 yield _pairs(found)
         yield _pairs(resolve(held))
@@ -272,30 +301,27 @@ def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     )
 
 
-def _refined(entries: DataFrame, nodes: DataFrame, levels: int = 3) -> DataFrame:
-    """``grp`` and ``node`` of buckets of bounded size, for texts whose candidates
-    are too many for one task. A bucket that is too large is split by a second
-    band that its texts share as well, and again by a third."""
-    parts = []
-    for level in range(levels + 1):
-        sizes = entries.groupBy("key").count().where("count > 1")
-        sized = entries.join(sizes, "key")
-        fit = sized if level == levels else sized.where(F.col("count") <= GROUP)
-        parts.append(fit.select(F.concat(F.lit("bucket "), F.col("key").cast("string")).alias("grp"), "node"))
-        if level == levels:
-            break
-        wide = sized.where(F.col("count") > GROUP).select("key", "node")
-        other = wide.join(nodes, "node").select("key", "node", F.explode("bands").alias("other"))
-        entries = materialise(
-            other.where("key <> other")
-            .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node")
-            .distinct(),
-            "finer-buckets",
-        )
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    return found
+def _refined(entries: DataFrame) -> DataFrame:
+    """``grp``, ``node`` and ``side`` of all buckets of texts whose candidates are
+    too many for one task.
+
+    A bucket of up to ``GROUP`` texts is a group. The texts of a wider one are
+    dealt by their hash to blocks of somewhat fewer, and every block with itself
+    and every two blocks are a group, so that all its pairs meet in some task.
+    """
+    sizes = entries.groupBy("key").count().where("count > 1")
+    name = F.concat(F.lit("bucket "), F.col("key").cast("string"))
+    sized = entries.join(sizes, "key").select("key", "node", "count", name.alias("grp"))
+    fit = sized.where(F.col("count") <= GROUP).select("grp", "node", F.lit(0).alias("side"))
+    blocks = F.ceil(F.col("count") * 1.1 / GROUP).cast("int")
+    dealt = sized.where(F.col("count") > GROUP).select(
+        "grp", "node", blocks.alias("n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")
+    )
+    met = dealt.select("grp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    two = F.concat_ws(" ", "grp", F.least("own", "other"), F.greatest("own", "other"))
+    return fit.union(
+        met.select(two.alias("grp"), "node", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
+    )
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,7 +334,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     3. Equal texts are one node. Nodes that share a band's bucket are linked to
        the bucket's least node, and the components of these links are the groups
        of candidates; no pairs are made of them. Groups beyond 4,096 texts are
-       split into their buckets, and large buckets by further bands.
+       split into their buckets, and wider buckets into pairs of blocks: the
+       texts of a bucket of n are read by n / 3,700 tasks.
     4. The texts come to their groups, where pairs with enough equal samples are
        verified by weighted Jaccard similarity, unless they are connected already.
     5. The components of the verified links are the classes.
@@ -342,18 +369,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     groups = materialise(components(met.select(F.col("node").alias("a"), "b"), "met"), "groups")
     sizes = groups.groupBy("root").count().where(F.col("count") > GROUP)
     sized = materialise(groups.join(sizes, "root", "left"), "group-sizes")
-    normal = sized.where("count IS NULL").select(F.hex("root").alias("grp"), "node")
+    normal = sized.where("count IS NULL").select(
+        F.hex("root").alias("grp"), "node", F.lit(0).alias("side")
+    )
     large = sized.where("count IS NOT NULL").select("node")
     grouped = normal
     if not large.isEmpty():
-        finer = _refined(entries.join(large, "node", "left_semi").select("key", "node"), nodes)
+        finer = _refined(entries.join(large, "node", "left_semi").select("key", "node"))
         grouped = materialise(normal.union(finer), "finer-groups")
-    known = grouped.join(nodes.select("node", "mark", F.col("doc_id").alias("_first")), "node")
+    known = grouped.join(nodes.select("node", "mark", "bands", F.col("doc_id").alias("_first")), "node")
+    known = known.withColumn("bands", F.when(F.col("grp").startswith("bucket "), F.col("bands")))
     wanted = rows.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "text")
     texts = known.join(
         wanted, (F.col("node") == F.col("_node")) & F.col("_first").eqNullSafe(F.col("_id"))
     )
-    dealt = texts.select("grp", "node", "mark", "text").repartition("grp")
+    dealt = texts.select("grp", "node", "mark", "text", "side", "bands").repartition("grp")
     links = materialise(
         dealt.sortWithinPartitions("grp", "node").mapInArrow(_compare(idf), "a BINARY, b BINARY"),
         "links",

@@ -68,6 +68,40 @@ def test_near_copies_and_odd_rows(frame, odd_rows, monkeypatch, group):
     assert _classes(docs) == brute(rows, near.inverse_frequencies(docs))
 
 
+def template_pages(n, pairs, seed=7):
+    """Pages of one template, of a similarity of about 0.78 with each other, and
+    among them pairs of 0.85 or more."""
+    rnd = random.Random(seed)
+    template = [f"t{rnd.randrange(10**6)}" for _ in range(288)]
+    fresh = lambda k: [f"o{rnd.randrange(10**7)}" for _ in range(k)]
+    pages = [template + fresh(12) for _ in range(n)]
+    for i in range(pairs):
+        pages[-1 - i] = pages[i][:-7] + fresh(7)
+    return [" ".join(page) for page in pages]
+
+
+def test_wide_buckets_are_compared_in_full(frame, monkeypatch):
+    monkeypatch.setattr(near, "GROUP", 2)
+    monkeypatch.setattr(near, "PAIRS", 50, raising=False)
+    rows = list(enumerate(template_pages(120, 40)))
+    docs = frame(rows + rows[:30])
+    idf = near.inverse_frequencies(docs)
+    wanted = brute(rows + rows[:30], idf)
+    assert len({c for _, c in wanted}) == 80  # the pairs, and nothing else, are linked
+    assert _classes(docs) == wanted
+
+
+def test_links_across_two_blocks_only():
+    marks = np.zeros((5, near.SAMPLES), np.uint8)
+    profile = lambda i: (np.array([1], np.uint64), np.array([1.0]))
+    assert len(list(near.links_within(marks, profile, 5))) == 4
+    assert set(near.links_within(marks[:2], profile, 2, 1)) == {(0, 1)}
+    found = set(near.links_within(marks, profile, 5, 2))
+    assert len(found) == 4 and all(a < 2 <= b for a, b in found)
+    bands = np.array([[1, 2, 1, 3, 3]])
+    assert set(near.links_within(marks[:3], profile, 3, 0, bands[:, :3])) == {(0, 1), (1, 2)}
+
+
 def test_keep_one(frame, odd_rows):
     rows = odd_rows + [(i, t) for i, t in enumerate(near_copies(30, most_edits=3), 100)]
     docs = frame(rows).withColumnRenamed("size", "node").withColumnRenamed("_text", "class_id")
