@@ -324,27 +324,10 @@ def _refined(entries: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``node`` (a text's digest) and ``class_id`` for every row of
-    ``docs``: the least key of all rows whose texts are equal or linked over any
-    number of links between texts of weighted Jaccard similarity 0.8 or more.
-
-    1. TF-IDF weights of five-word shingles (``inverse_frequencies``).
-    2. 64 consistent weighted samples of each text, in 16 bands of 4.
-    3. Equal texts are one node. Nodes that share a band's bucket are linked to
-       the bucket's least node, and the components of these links are the groups
-       of candidates; no pairs are made of them. Groups beyond 4,096 texts are
-       split into their buckets, and wider buckets into pairs of blocks: the
-       texts of a bucket of n are read by n / 3,700 tasks.
-    4. The texts come to their groups, where pairs with enough equal samples are
-       verified by weighted Jaccard similarity, unless they are connected already.
-    5. The components of the verified links are the classes.
-
-    A null text is a class of its own with each key; texts without words are
-    similar to equal texts only; rows of one key with different texts may be in
-    different classes; a class of null keys only has a null id; repeated rows
-    stay; no rows give no rows. Other columns are not read.
-    """
+def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id`` and ``node`` of every row; and for each node its ``least`` key,
+    whether it has ``several`` rows, and the ``root`` of its class: the least node
+    linked with it, which tells classes apart where their keys do not."""
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         F.col(text).alias("text"),
@@ -390,13 +373,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     classes = materialise(components(links, "classes"), "class-roots")
 
-    ids = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
+    ids = signed.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.min("doc_id").alias("least"), (F.count("*") > 1).alias("several")
+    )
     rooted = ids.join(classes, "node", "left").select(
-        "node", "least", F.coalesce("root", "node").alias("root")
+        "node", "least", "several", F.coalesce("root", "node").alias("root")
     )
+    return signed.select("doc_id", "node"), materialise(rooted, "rooted")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``node`` (a text's digest) and ``class_id`` for every row of
+    ``docs``: the least key of all rows whose texts are equal or linked over any
+    number of links between texts of weighted Jaccard similarity 0.8 or more.
+
+    1. TF-IDF weights of five-word shingles (``inverse_frequencies``).
+    2. 64 consistent weighted samples of each text, in 16 bands of 4.
+    3. Equal texts are one node. Nodes that share a band's bucket are linked to
+       the bucket's least node, and the components of these links are the groups
+       of candidates; no pairs are made of them. Groups beyond 4,096 texts are
+       split into their buckets, and wider buckets into pairs of blocks: the
+       texts of a bucket of n are read by n / 3,700 tasks.
+    4. The texts come to their groups, where pairs with enough equal samples are
+       verified by weighted Jaccard similarity, unless they are connected already.
+    5. The components of the verified links are the classes.
+
+    A null text is a class of its own with each key; texts without words are
+    similar to equal texts only; rows of one key with different texts may be in
+    different classes; a class of null keys only has a null id; repeated rows
+    stay; no rows give no rows. Other columns are not read.
+    """
+    narrow, rooted = _rooted(docs, key, text)
     named = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     of_node = materialise(rooted.join(named, "root").select("node", "class_id"), "class-ids")
-    narrow = signed.select("doc_id", "node")
     return (
         narrow.where(F.col("node").isNotNull())
         .join(of_node, "node")
@@ -410,17 +419,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class, that with the least key, with all columns as they
-    are. Rows with null texts are kept, each once for its key."""
+    """One row of each class, that with the least key (null keys last) and of its
+    texts the least digest, with all columns as they are. Classes are told apart by
+    their links, not by their keys, which may be null or repeated. Rows with null
+    texts are kept, each once for its key."""
     columns = docs.columns
-    classes = near_duplicates(docs, key, text)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(
-        F.min("node").alias("_node"), F.count("*").alias("_copies")
+    narrow, rooted = _rooted(docs, key, text)
+    least = F.min(F.struct(F.col("least").isNull(), "least", "node", "several"))
+    first = rooted.groupBy("root").agg(least.alias("_first")).select(
+        F.col("_first.least").alias("_id"),
+        F.col("_first.node").alias("_node"),
+        F.col("_first.several").alias("_again"),
     )
-    first = materialise(
-        first.select(F.col("class_id").alias("_id"), "_node", (F.col("_copies") > 1).alias("_again")),
-        "kept-rows",
+    blank = narrow.where(F.col("node").isNull()).groupBy("doc_id", "node").agg(
+        (F.count("*") > 1).alias("_again")
     )
+    first = materialise(first.union(blank), "kept-rows")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
         F.col(key).cast("long").alias("_key"),

@@ -116,6 +116,18 @@ def test_keep_one(frame, odd_rows):
     assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
 
 
+def test_keep_one_row_of_every_class(frame, odd_rows):
+    rows = odd_rows + [(None, t) for t in near_copies(4, most_edits=3)]
+    rows += [(None, "another null key"), (None, None), (7, "copy"), (None, "copy"), (7, "no copy")]
+    kept = Counter((r.doc_id, r.text) for r in near.keep_one(frame(rows)).collect())
+    copies = sorted({t for _, t in rows if t and t.startswith("b")})
+    assert sum(kept[None, t] for t in copies) == 1
+    blank = {(k, "") for k, t in rows if t is not None and not t.strip()}
+    wanted = {(k, t) for k, t in rows if t not in copies} - {(None, "copy")}
+    assert len(blank) == 2  # texts without words are near equal texts only
+    assert {row: n for row, n in kept.items() if row[1] not in copies} == dict.fromkeys(wanted, 1)
+
+
 def test_empty(frame):
     assert near.digests(frame([(1, "x")]).limit(0)).count() == 0
 
