@@ -91,6 +91,32 @@ def test_wide_buckets_are_compared_in_full(frame, monkeypatch):
     assert _classes(docs) == wanted
 
 
+def test_pairs_that_share_one_wide_band_only(frame, monkeypatch):
+    sign = near._signatures
+
+    def one_band(idf):
+        own = sign(idf)
+
+        def run(batches):
+            for batch in own(batches):
+                bands = [
+                    [7] + [int.from_bytes(n[:6], "big") * 16 + i for i in range(1, 16)]
+                    for n in batch.column("node").to_pylist()
+                ]
+                kind = batch.schema.field("bands").type
+                yield batch.set_column(2, "bands", near.pa.array(bands, kind))
+
+        return run
+
+    monkeypatch.setattr(near, "_signatures", one_band)
+    monkeypatch.setattr(near, "GROUP", 8)
+    rows = list(enumerate(template_pages(40, 12)))
+    docs = frame(rows)
+    wanted = brute(rows, near.inverse_frequencies(docs))
+    assert len({c for _, c in wanted}) < 40
+    assert _classes(docs) == wanted
+
+
 def test_links_across_two_blocks_only():
     marks = np.zeros((5, near.SAMPLES), np.uint8)
     profile = lambda i: (np.array([1], np.uint64), np.array([1.0]))
