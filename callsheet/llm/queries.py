@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from callsheet.llm import bpe, languages, near, packing, quality, secrets, shards, substrings, token_files, topk
+from callsheet.llm import bpe, languages, manifest, near, packing, quality, secrets, shards, substrings, token_files, topk
 from callsheet.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_threshold_top_k": op1_threshold_top_k,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
