@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from callsheet.llm import bpe, languages, manifest, near, packing, quality, secrets, shards, substrings, token_files, topk
+from callsheet.llm import bpe, languages, manifest, near, packing, quality, secrets, shards, spelling, substrings, suffixes, token_files, topk
 from callsheet.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_threshold_top_k": op1_threshold_top_k,
@@ -82,6 +92,8 @@ def queries() -> dict[str, Query]:
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_bpe_round_trip": op10_bpe_round_trip,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_suffix_array_dedup": op13_suffix_array_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
