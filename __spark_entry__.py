@@ -31,7 +31,10 @@ from callsheet.operators import (
     entity_rollup,
     fill_defaults,
     integrity_report,
+    nth_row,
+    orphan_keys,
     orphans,
+    orphans_by_bitmap,
     pair_rollup,
     refusals,
     rows_with_violations,
@@ -55,8 +58,10 @@ from callsheet.plans import (
 from callsheet.schemas import CASCADE, REFUSE, SET_NULL, ForeignKey, TableRules
 from callsheet.session import materialise, workspace
 from callsheet.sources import (
+    StoredRollup,
     append_numbered,
     append_rows,
+    delete_in_files,
     escaped,
     read_table,
     read_transcripts,
@@ -64,6 +69,7 @@ from callsheet.sources import (
     speaker_words,
     to_turns,
     unlisted,
+    update_partitions,
 )
 
 # The numbered queries and the pipeline can be taken away; all else stays.
@@ -493,6 +499,39 @@ def pair_totals_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_report_functions(spark: SparkSession, sf_dir: str) -> None:
+    tables = {
+        "entity": _customers(spark, sf_dir),
+        "partition": _priorities(spark, sf_dir),
+        "rollup": _order_counts(spark, sf_dir),
+    }
+    create_views(tables, {})
+
+
+def sql_extreme_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both modes of the share report, called from SQL as a table function."""
+    _with_report_functions(spark, sf_dir)
+    return spark.sql(
+        """
+        SELECT mode, part_id, entity_id, entity_name,
+               CAST(worth_in_millions AS DOUBLE) AS worth_in_millions
+        FROM (SELECT 'most' AS mode, * FROM extreme_share('MOST')
+              UNION ALL SELECT 'least', * FROM extreme_share('least'))
+        """
+    )
+
+
+def sql_nth_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second, tenth and a missing rank of one part, called from SQL."""
+    _with_report_functions(spark, sf_dir)
+    return spark.sql(
+        """
+        SELECT * FROM nth_ranked('5-LOW', 2) UNION ALL SELECT * FROM nth_ranked('5-LOW', 10)
+        UNION ALL SELECT * FROM nth_ranked('5-LOW', 1000000000)
+        """
+    )
+
+
 # --- the whole workload -----------------------------------------------------
 
 
@@ -632,6 +671,97 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity_report(tables, DRIVER_RULES, DRIVER_KEYS)
 
 
+def _priced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").where(F.col("o_totalprice") >= 20000)
+
+
+def lost_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order keys of line items whose order is not among those that cost enough."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey")
+    return orphan_keys(lines, "l_orderkey", _priced_orders(spark, sf_dir), "o_orderkey")
+
+
+def lost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return orphans_by_bitmap(lines, "l_orderkey", _priced_orders(spark, sf_dir), "o_orderkey")
+
+
+# --- stored tables that change in part ---------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def folded_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity per supplier and flag, from line items that come in three batches;
+    the second one comes twice."""
+    stored = StoredRollup(
+        spark, _scratch(spark, "folded"), ["l_suppkey", "l_returnflag"], "qty", buckets=4
+    )
+    lines = _table(spark, sf_dir, "lineitem").withColumn("qty", F.col("l_quantity").cast("long"))
+    year = F.year("l_shipdate")
+    for name, batch in (("old", year < 1995), ("new", year >= 1995), ("new", year >= 1995)):
+        stored.fold(lines.where(batch), name)
+    stored.fold(lines.where(year.isNull()), "undated")
+    return stored.read()
+
+
+def folded_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words per role, with the longest turn, from conversations in two batches."""
+    stored = StoredRollup(
+        spark, _scratch(spark, "folded"), ["role"], turn=("conv_id", "turn"), buckets=2
+    )
+    turns = with_word_count(_table(spark, sf_dir, "conversations"))
+    for name, batch in (("openings", F.col("turn") == 0), ("rest", F.col("turn") != 0)):
+        stored.fold(turns.where(batch), name)
+    return stored.read().select(
+        "role", "words", "turns", F.col("longest.conv_id").alias("conv_id"), F.col("longest.turn").alias("turn")
+    )
+
+
+def updated_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stored by segment; those of one segment get their number of orders."""
+    path = _scratch(spark, "customers")
+    customers = _table(spark, sf_dir, "customer")
+    replace_table(customers, path, ["c_mktsegment"])
+    buyers = customers.where(F.col("c_mktsegment") == "BUILDING")
+    counts = (
+        _table(spark, sf_dir, "orders")
+        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("o_custkey")
+        .agg(F.count("*").cast("double").alias("orders"))
+    )
+    schema = StructType.fromDDL(SCHEMAS["customer"])
+    update_partitions(
+        spark, path, schema, ["c_mktsegment"], "c_custkey", counts, "o_custkey", "c_acctbal", "orders"
+    )
+    return read_table(spark, path, schema)
+
+
+def deleted_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stored by customer, without those of the suppliers' namesakes in debt."""
+    path = _scratch(spark, "orders")
+    schema = StructType.fromDDL(SCHEMAS["orders"])
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    stored = StructType([schema[c] for c in orders.columns])
+    orders.repartitionByRange(16, "o_custkey").write.parquet(path)
+    debtors = _table(spark, sf_dir, "supplier").where("s_acctbal < 0").select("s_suppkey")
+    delete_in_files(spark, path, stored, "o_custkey", debtors)
+    return read_table(spark, path, stored)
+
+
+def dearest_line(n: int) -> Query:
+    """The n-th dearest line item, over the whole table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = _table(spark, sf_dir, "lineitem")
+        order = [("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False), ("l_partkey", False)]
+        return nth_row(lines, order, n).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+    return run
+
+
 def customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
     return dense_ids(customers, ["c_mktsegment", "c_custkey"], into="dense_id")
@@ -725,11 +855,21 @@ def queries() -> dict[str, Query]:
         "nth_ranked_late": _ranked(150),
         "nth_ranked_empty": _ranked(1_000_000_000),
         "pair_totals_view": pair_totals_view,
+        "sql_extreme_shares": sql_extreme_shares,
+        "sql_nth_ranked": sql_nth_ranked,
         "workload_rollup": _derived("rollup"),
         "workload_pairs": _derived("pair"),
         "workload_partitions": _derived("partition"),
         **{f"workload_{name}": _report(name) for name in REPORTS},
         "workload_nth_ranked": workload_nth,
+        "nth_line": dearest_line(1),
+        "nth_line_late": dearest_line(5000),
+        "folded_rollup": folded_rollup,
+        "folded_speakers": folded_speakers,
+        "updated_partitions": updated_partitions,
+        "deleted_in_files": deleted_in_files,
+        "orphan_keys": lost_keys,
+        "orphans_by_bitmap": lost_lines,
         "dup_keys": dup_keys,
         "orphans": orphan_orders,
         "null_length_check": null_length_check,

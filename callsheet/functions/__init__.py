@@ -1,7 +1,7 @@
 """Column expressions shared by the operators; no Python runs per row."""
 
 from callsheet.functions.numbers import integer_average, money_share
-from callsheet.functions.sql import register_functions
+from callsheet.functions.sql import register_functions, register_reports
 from callsheet.functions.text import joined_names, word_count
 
 __all__ = [
@@ -9,5 +9,6 @@ __all__ = [
     "joined_names",
     "money_share",
     "register_functions",
+    "register_reports",
     "word_count",
 ]

@@ -1,5 +1,6 @@
 """Derivations, quality jobs, keys and deletes over DataFrames."""
 
+from callsheet.operators.bitmaps import orphan_keys, orphans_by_bitmap
 from callsheet.operators.deletes import DeleteRefused, delete_rows, refusals
 from callsheet.operators.derive import (
     RejectedPairs,
@@ -21,6 +22,7 @@ from callsheet.operators.quality import (
     rows_with_violations,
     uncovered,
 )
+from callsheet.operators.ranking import nth_row
 
 __all__ = [
     "DeleteRefused",
@@ -35,7 +37,10 @@ __all__ = [
     "entity_rollup",
     "fill_defaults",
     "integrity_report",
+    "nth_row",
+    "orphan_keys",
     "orphans",
+    "orphans_by_bitmap",
     "pair_rollup",
     "refusals",
     "rows_with_violations",

@@ -52,19 +52,6 @@ def _repeats(keys: Sequence[str]) -> str:
     return f"{', '.join(keys)} repeats"
 
 
-def _key_and_rule_counts(
-    df: DataFrame, keys: Sequence[str], breaks: Mapping[str, Column]
-) -> DataFrame:
-    """As :func:`_rule_counts`, with the number of repeated keys, from one scan."""
-    broken = [F.count_if(rule).alias(f"_{i}") for i, rule in enumerate(breaks.values())]
-    folded = df.groupBy(*keys).agg(F.count("*").alias("_copies"), *broken)
-    sums = [F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"_{i}") for i in range(len(breaks))]
-    counts = folded.agg(F.count_if(F.col("_copies") > 1).alias("_repeats"), *sums)
-    found = {_repeats(keys): "_repeats"} | {rule: f"_{i}" for i, rule in enumerate(breaks)}
-    rows = [F.struct(F.lit(r).alias("rule"), F.col(c).alias("violations")) for r, c in found.items()]
-    return counts.select(F.inline(F.array(*rows)))
-
-
 def column_violations(
     df: DataFrame, not_null: Iterable[str] = (), max_length: Mapping[str, int] | None = None
 ) -> DataFrame:
@@ -117,22 +104,19 @@ def integrity_report(
 ) -> DataFrame:
     """Every declared rule of the given tables: ``table_name, rule, violations``.
 
-    A key rule counts the keys held twice; a table's row rules are counted in
-    the fold of its first key, so that both take one scan. A reference rule
-    counts the orphan rows, folded per value before the join. Without any rule
-    for the given tables there is nothing to report, which is an error.
+    A table's row rules are counted together, each task sending one row of counts.
+    A key rule counts the keys held twice, and shuffles the key columns only. A
+    reference rule counts the orphan rows, folded per value before the join.
+    Without any rule for the given tables there is nothing to report, which is an
+    error.
     """
     reports = []
     for name in [n for n in tables if n in rules]:
         rule_set, df = rules[name], tables[name]
         breaks = _row_rules(rule_set)
-        keyed = [k for k in (rule_set.primary_key, *rule_set.unique) if k]
-        if keyed:
-            counts = _key_and_rule_counts(df, keyed[0], breaks)
-            reports.append(counts.withColumn("table_name", F.lit(name)))
-        elif breaks:
+        if breaks:
             reports.append(_rule_counts(df, breaks).withColumn("table_name", F.lit(name)))
-        for keys in keyed[1:]:
+        for keys in [k for k in (rule_set.primary_key, *rule_set.unique) if k]:
             found = duplicate_keys(df, keys)
             reports.append(_count_of(found, name, _repeats(keys), F.count("*")))
     for fk in foreign_keys:

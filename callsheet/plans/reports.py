@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsheet.functions import integer_average, joined_names, money_share
-from callsheet.operators.keys import dense_ids
+from callsheet.operators.ranking import nth_row
 from callsheet.session import materialise
 
 MILLION = 1_000_000
@@ -356,19 +356,16 @@ def nth_ranked(
     All columns of both tables, and the rank. Equals are ranked by id, NULL
     scores last. A rank that does not exist, or NULL, gives no row.
 
-    One plan for every n: the part is sorted across tasks and numbered by
-    :func:`dense_ids`. Only ids and scores of the entities go through the
-    ranking; the one found is looked up for the rest.
+    One plan for every n, :func:`nth_row`: scores are counted by ranges, so the
+    part is neither sorted across tasks nor written. Only the row found is looked
+    up for the other columns.
     """
     scores = entities.select(F.col(key).alias("_key"), F.col(score).alias("_score"))
     present = rollup.where(F.col(part) == F.lit(part_value)).join(
         scores, F.col(entity) == F.col("_key")
     )
-    order = [F.col("_score").desc_nulls_last(), F.col("_key").asc()]
-    numbered = dense_ids(present, order, into="_rank", start=1)
-    found = numbered.where(F.col("_rank") == F.lit(n).cast("long"))
+    found = nth_row(present, [("_score", True), ("_key", False)], n)
     found = found.select(*present.columns, F.lit(n).cast("int").alias(into))
-    found = materialise(found, "ranked")
     return entities.join(found, F.col(key) == F.col("_key")).select(
         *[entities[c] for c in entities.columns], *[found[c] for c in rollup.columns], into
     )

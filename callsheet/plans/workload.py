@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsheet.functions import register_functions
+from callsheet.functions import register_functions, register_reports
 from callsheet.operators import (
     accept_pairs,
     dense_ids,
@@ -35,9 +35,11 @@ class DerivedTables(Mapping[str, DataFrame]):
     """The base tables and the derived ones, each made when it is first asked for.
 
     A report that needs neither texts nor ids thus reads no text and writes
-    nothing. The texts are measured once, into the narrow table ``turn_words``;
-    rollup, pairs and part totals are aggregated from that. The texts themselves
-    are not written again: ``turn`` is the given table with its count.
+    nothing. ``rollup_words`` is the rollup without ids, folded from the texts in
+    one scan; part totals are summed from it, and only ``rollup`` itself is
+    numbered, for whom the ids matter. Pairs come from ``turn_words``, a narrow
+    table of the measured texts. The texts themselves are not written again:
+    ``turn`` is the given table with its count.
     """
 
     def __init__(self, tables: Mapping[str, DataFrame], pair_mode: str):
@@ -46,6 +48,7 @@ class DerivedTables(Mapping[str, DataFrame]):
         self._makers = {
             "turn": lambda: with_word_count(self._base["turn"]),
             "turn_words": self._turn_words,
+            "rollup_words": self._rollup_words,
             "rollup": self._rollup,
             "pair": lambda: accept_pairs(pair_rollup(self["turn_words"]), mode=self._mode),
             "partition": self._partition,
@@ -68,13 +71,16 @@ class DerivedTables(Mapping[str, DataFrame]):
         narrow = self["turn"].select("id", "part_id", "from_id", "to_id", "word_count")
         return materialise(narrow, "words")
 
+    def _rollup_words(self) -> DataFrame:
+        spoken = entity_rollup(self["turn"]).withColumnRenamed("from_id", "entity_id")
+        return materialise(spoken, "rollup-words")
+
     def _rollup(self) -> DataFrame:
-        spoken = entity_rollup(self["turn_words"]).withColumnRenamed("from_id", "entity_id")
-        numbered = dense_ids(spoken, ["entity_id", "part_id"], into="relation_id")
+        numbered = dense_ids(self["rollup_words"], ["entity_id", "part_id"], into="relation_id")
         return numbered.select("relation_id", "entity_id", "part_id", "words")
 
     def _partition(self) -> DataFrame:
-        per_part = self["turn_words"].groupBy("part_id").agg(F.sum("word_count").alias("words"))
+        per_part = self["rollup_words"].groupBy("part_id").agg(F.sum("words").alias("words"))
         parts = update_from(
             self._base["partition"], "part_id", per_part, "part_id", "words_known", "words"
         )
@@ -87,8 +93,13 @@ def derive(tables: Mapping[str, DataFrame], pair_mode: str = "strict") -> Derive
     return DerivedTables(tables, pair_mode)
 
 
+def _rollup_of(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The rollup that a report reads: without ids where the tables have it."""
+    return tables["rollup_words"] if "rollup_words" in tables else tables["rollup"]
+
+
 def _average_share_in_millions(tables: Mapping[str, DataFrame]) -> DataFrame:
-    shares = average_share(tables["entity"], tables["rollup"], tables["partition"])
+    shares = average_share(tables["entity"], _rollup_of(tables), tables["partition"])
     in_millions = (F.col("average_share") / F.lit(MILLION)).cast("decimal(38,6)")
     return shares.select(
         "entity_id", "entity_name", in_millions.alias("worth_in_millions")
@@ -96,7 +107,7 @@ def _average_share_in_millions(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def _extreme_share(mode: str) -> Report:
-    return lambda t: extreme_share(t["rollup"], t["partition"], t["entity"], mode)
+    return lambda t: extreme_share(_rollup_of(t), t["partition"], t["entity"], mode)
 
 
 def _flag_wins(flag: str) -> Report:
@@ -105,7 +116,7 @@ def _flag_wins(flag: str) -> Report:
 
 REPORTS: dict[str, Report] = {
     "top_with_related": lambda t: top_with_related(
-        t["rollup"], t["relation"], t["entity"], t["partition"]
+        _rollup_of(t), t["relation"], t["entity"], t["partition"]
     ),
     "best_group": lambda t: best_group(t["entity"], t["location"]),
     "average_share": _average_share_in_millions,
@@ -130,7 +141,8 @@ def all_reports(
 
 
 def create_views(tables: Mapping[str, DataFrame], found: Mapping[str, DataFrame]) -> None:
-    """Offer tables and reports to SQL users as temporary views, with the function.
+    """Offer tables and reports to SQL users as temporary views, with the functions:
+    ``word_count``, and the reports with parameters where their tables are there.
 
     The views are snapshots: some reports have written their few result rows.
     :func:`live_views` makes them anew from the tables as they are.
@@ -139,7 +151,10 @@ def create_views(tables: Mapping[str, DataFrame], found: Mapping[str, DataFrame]
         df.createOrReplaceTempView(name)
     for name, df in found.items():
         df.createOrReplaceTempView(f"report_{name}")
-    register_functions(next(iter(tables.values())).sparkSession)
+    spark = next(iter(tables.values())).sparkSession
+    register_functions(spark)
+    if {"entity", "partition", "rollup"} <= set(tables):
+        register_reports(spark)
 
 
 def live_views(

@@ -1,11 +1,17 @@
 """Reading and writing tables, and turning transcripts into turns."""
 
+from callsheet.sources.rollups import StoredRollup, merged_states, rollup_states
 from callsheet.sources.tables import (
     append_numbered,
     append_rows,
+    delete_in_files,
+    file_bounds,
+    finish_replacing,
     literal_rows,
     read_table,
+    replace_partitions,
     replace_table,
+    update_partitions,
 )
 from callsheet.sources.transcripts import (
     escaped,
@@ -17,15 +23,23 @@ from callsheet.sources.transcripts import (
 )
 
 __all__ = [
+    "StoredRollup",
     "append_numbered",
     "append_rows",
+    "delete_in_files",
     "escaped",
+    "file_bounds",
+    "finish_replacing",
     "literal_rows",
+    "merged_states",
     "read_table",
     "read_transcripts",
+    "replace_partitions",
     "replace_table",
+    "rollup_states",
     "speaker_words",
     "to_turns",
     "unescaped",
     "unlisted",
+    "update_partitions",
 ]

@@ -49,6 +49,13 @@ def _extreme_sql(order: str) -> str:
     FROM ranked JOIN customer ON c_custkey = entity_id WHERE rn = 1"""
 
 
+def _nth_line_sql(n: int) -> str:
+    return f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
+    ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey
+    LIMIT 1 OFFSET {n - 1}"""
+
+
 def _pair_totals_sql(flow: str, names: bool) -> str:
     columns, joins = "", ""
     if names:
@@ -470,6 +477,19 @@ def sql_texts() -> dict[str, str]:
             SELECT hi_name AS name, words, example
             FROM ({_pair_totals_sql(OPEN_FLOW, names=True)}) JOIN nation ON hi_id = n_nationkey
             WHERE hi_id = lo_id AND n_regionkey <> 0""",
+        "sql_extreme_shares": f"""
+            SELECT 'most' AS mode, part_id, entity_id, entity_name, worth_in_millions
+            FROM ({_extreme_sql("DESC")})
+            UNION ALL SELECT 'least', part_id, entity_id, entity_name, worth_in_millions
+            FROM ({_extreme_sql("ASC")})""",
+        "sql_nth_ranked": """
+            SELECT c_custkey AS id, c_name AS name, c_acctbal AS score, words, place FROM (
+                SELECT customer.*, words, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place
+                FROM customer JOIN (
+                    SELECT o_custkey, count(*) AS words FROM orders
+                    WHERE o_orderpriority = '5-LOW' GROUP BY 1
+                ) ON o_custkey = c_custkey
+            ) WHERE place IN (2, 10)""",
         **{f"workload_{name}": sql for name, sql in _workload_sql().items()},
         "dup_keys": """
             SELECT l_orderkey, l_linenumber, count(*) AS copies
@@ -488,6 +508,34 @@ def sql_texts() -> dict[str, str]:
             FROM documents
             UNION ALL SELECT 'source is longer than 20', count(*) FILTER (length(source) > 20)
             FROM documents""",
+        "nth_line": _nth_line_sql(1),
+        "nth_line_late": _nth_line_sql(5000),
+        "folded_rollup": """
+            SELECT l_suppkey, l_returnflag,
+                   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS words, count(*) AS turns
+            FROM lineitem GROUP BY 1, 2""",
+        "folded_speakers": f"""
+            WITH spoken AS (SELECT *, CAST({WORDS} AS BIGINT) AS n FROM conversations)
+            SELECT role, CAST(sum(n) AS BIGINT) AS words, count(*) AS turns,
+                   arg_min(conv_id, (-n, conv_id, turn)) AS conv_id,
+                   arg_min(turn, (-n, conv_id, turn)) AS turn
+            FROM spoken GROUP BY role""",
+        "updated_partitions": """
+            SELECT c_custkey, c_name, c_nationkey,
+                   CASE WHEN c_mktsegment = 'BUILDING' AND n IS NOT NULL THEN CAST(n AS DOUBLE)
+                        ELSE c_acctbal END AS c_acctbal,
+                   c_mktsegment
+            FROM customer
+            LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""",
+        "deleted_in_files": """
+            SELECT o_orderkey, o_custkey, o_orderpriority FROM orders
+            WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""",
+        "orphan_keys": """
+            SELECT DISTINCT l_orderkey FROM lineitem
+            WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice >= 20000)""",
+        "orphans_by_bitmap": """
+            SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem
+            WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice >= 20000)""",
         "predicate_check": f"""
             WITH {FLOW}
             SELECT l_orderkey, l_linenumber, from_id, to_id, qty
