@@ -7,20 +7,46 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from callsheet.schemas import ForeignKey, TableRules
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], into: str = "copies") -> DataFrame:
-    """Keys held by more than one row; NULLs count as equal."""
-    return df.groupBy(*keys).agg(F.count("*").alias(into)).where(F.col(into) > 1)
+#: How the original tables compare text: without case, and without trailing blanks.
+SOURCE_COLLATION = "UNICODE_CI_RTRIM"
 
 
-def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows whose reference meets no parent; a NULL reference is legal."""
-    parents = parent.select(F.col(key).alias("_parent_key"))
+def _collated(df: DataFrame, name: str, collation: str | None) -> Column:
+    """A column as it is compared: text by the collation, all else as it is."""
+    if collation is not None and isinstance(df.schema[name].dataType, StringType):
+        return F.collate(F.col(name), collation)
+    return F.col(name)
+
+
+def duplicate_keys(
+    df: DataFrame, keys: Sequence[str], into: str = "copies", collation: str | None = None
+) -> DataFrame:
+    """Keys held by more than one row; NULLs count as equal.
+
+    With a ``collation``, texts that it holds equal are one key, of which the least
+    spelling is shown.
+    """
+    if collation is None:
+        return df.groupBy(*keys).agg(F.count("*").alias(into)).where(F.col(into) > 1)
+    compared = [_collated(df, k, collation).alias(f"_{i}") for i, k in enumerate(keys)]
+    shown = [F.min(k).alias(k) for k in keys]
+    found = df.groupBy(*compared).agg(*shown, F.count("*").alias(into))
+    return found.where(F.col(into) > 1).select(*keys, into)
+
+
+def orphans(
+    child: DataFrame, column: str, parent: DataFrame, key: str, collation: str | None = None
+) -> DataFrame:
+    """Child rows whose reference meets no parent; a NULL reference is legal. With a
+    ``collation`` a text meets the parents that it holds equal."""
+    parents = parent.select(_collated(parent, key, collation).alias("_parent_key"))
     return child.where(F.col(column).isNotNull()).join(
-        parents, F.col(column) == F.col("_parent_key"), "left_anti"
+        parents, _collated(child, column, collation) == F.col("_parent_key"), "left_anti"
     )
 
 

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callsheet.functions import integer_average, joined_names, money_share
+from callsheet.functions import integer_average, joined_names, money_share, share_in_millions
 from callsheet.operators.ranking import nth_row
 from callsheet.session import materialise
 
@@ -142,6 +142,7 @@ def average_share(
     part_key: str = "part_id",
     total: str = "words_total",
     money: str = "money",
+    truncate: bool = False,
 ) -> DataFrame:
     """Per entity its share of the money, averaged over all parts.
 
@@ -150,6 +151,7 @@ def average_share(
     the number of parts, and the parts x entities grid is never built. Needs
     one rollup row per entity and part. A part with a zero total is an error,
     silent or not; a part whose total or money is NULL does not count.
+    ``truncate`` cuts the decimals of each share instead of rounding them.
     """
     partitions = partitions.where(F.col(part_key).isNotNull())
     silent_share = money_share(F.lit(0), F.col(total), F.col(money))
@@ -160,7 +162,9 @@ def average_share(
     earned = (
         rollup.join(factors, F.col(part) == F.col("_part"))
         .groupBy(F.col(entity).alias("_earner"))
-        .agg(F.sum(money_share(F.col(measure), F.col("_total"), F.col("_money"))).alias("_sum"))
+        .agg(
+            F.sum(money_share(F.col(measure), F.col("_total"), F.col("_money"), truncate)).alias("_sum")
+        )
     )
     average = F.coalesce(F.col("_sum"), F.lit(0).cast("decimal(38,6)")) / parts
     return entities.join(earned, F.col(key) == F.col("_earner"), "left").select(
@@ -185,13 +189,15 @@ def extreme_share(
     money: str = "money",
     key: str = "id",
     name: str = "name",
+    truncate: bool = False,
 ) -> DataFrame:
     """Per part the one entity with the most, or least, of its money in millions.
 
     Only entities that occur in a part are ranked, so the least is never one
     that is silent; equals go to the smallest id. A NULL measure comes first
     for the least and last for the most. A part whose winner, or which itself,
-    is missing in the dimension is left out.
+    is missing in the dimension is left out. ``truncate`` cuts the decimals of the
+    worth instead of rounding them.
 
     Within a part the total is one constant, so rows are ranked by the measure;
     each map task keeps its best row per part and only the winners are joined.
@@ -217,7 +223,7 @@ def extreme_share(
         F.col(money).alias("_money"),
     )
     named = entities.select(F.col(key).alias("_entity"), F.col(name).alias("entity_name"))
-    worth = money_share(F.col("words"), F.col("_total"), F.col("_money")) / F.lit(MILLION)
+    worth = share_in_millions(F.col("words"), F.col("_total"), F.col("_money"), truncate)
     return (
         winners.join(parts, F.col("part_id") == F.col("_part"))
         .join(named, F.col("entity_id") == F.col("_entity"))
@@ -226,7 +232,7 @@ def extreme_share(
             "part_name",
             "entity_id",
             "entity_name",
-            worth.cast("decimal(38,6)").alias("worth_in_millions"),
+            worth.alias("worth_in_millions"),
         )
     )
 

@@ -1,5 +1,6 @@
 """Reading and writing tables, and turning transcripts into turns."""
 
+from callsheet.sources.fragments import names_with_fragments
 from callsheet.sources.rollups import StoredRollup, merged_states, rollup_states
 from callsheet.sources.tables import (
     append_numbered,
@@ -32,6 +33,7 @@ __all__ = [
     "finish_replacing",
     "literal_rows",
     "merged_states",
+    "names_with_fragments",
     "read_table",
     "read_transcripts",
     "replace_partitions",

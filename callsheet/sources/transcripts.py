@@ -19,6 +19,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from callsheet.functions import word_count
 from callsheet.session import materialise
+from callsheet.sources.fragments import names_with_fragments
 from callsheet.sources.tables import literal_rows
 
 ALIASES = StructType(
@@ -224,20 +225,43 @@ def to_turns(
 
 
 def speaker_words(
-    lines: DataFrame, fragments: Sequence[str], parts: Sequence[int] | None = None
+    lines: DataFrame,
+    fragments: Sequence[str] | DataFrame,
+    parts: Sequence[int] | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """Words per ``speaker, source_part`` of speakers whose name holds a fragment.
 
     Fragments match anywhere in the name, in any case. Spellings of a name that
-    differ in case or outer blanks are one speaker, in upper case.
+    differ in case or outer blanks are one speaker, in upper case. A table of
+    fragments (one column) may have any number of them: they are looked up in an
+    index of the distinct names (:func:`names_with_fragments`).
+
+    With a ``collation`` (fragments given as a list) names are compared by it
+    instead, so that spellings it holds equal are one speaker, shown by the least
+    of them.
     """
-    matches = [_key("speaker").contains(fragment.upper()) for fragment in fragments]
-    wanted = lines.where(reduce(or_, matches, F.lit(False)))
     if parts is not None:
-        wanted = wanted.where(F.col("source_part").isin(*parts))
-    return wanted.groupBy(_key("speaker").alias("speaker"), "source_part").agg(
-        F.sum(word_count(F.col("text"))).alias("words")
-    )
+        lines = lines.where(F.col("source_part").isin(*parts))
+    count = F.sum(word_count(F.col("text"))).alias("words")
+    if isinstance(fragments, DataFrame):
+        upper = fragments.select(F.upper(F.col(f"`{fragments.columns[0]}`")).alias("fragment"))
+        found = names_with_fragments(lines.select(_key("speaker").alias("speaker")), upper)
+        wanted = found.select(F.col("name").alias("_wanted")).distinct()
+        wanted = lines.join(wanted, _key("speaker") == F.col("_wanted"), "left_semi")
+    elif collation is not None:
+        name = F.collate(F.trim("speaker"), collation)
+        matches = [F.contains(name, F.collate(F.lit(f), collation)) for f in fragments]
+        wanted = lines.where(reduce(or_, matches, F.lit(False)))
+        return (
+            wanted.groupBy(name.alias("_name"), "source_part")
+            .agg(F.min(F.trim("speaker")).alias("speaker"), count)
+            .select("speaker", "source_part", "words")
+        )
+    else:
+        matches = [_key("speaker").contains(fragment.upper()) for fragment in fragments]
+        wanted = lines.where(reduce(or_, matches, F.lit(False)))
+    return wanted.groupBy(_key("speaker").alias("speaker"), "source_part").agg(count)
 
 
 def unlisted(lines: DataFrame, aliases: Mapping[str, int] | DataFrame) -> DataFrame:

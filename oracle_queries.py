@@ -36,6 +36,11 @@ SHARES = """
         FROM rollup_rows JOIN parts USING (part_id)
     )"""
 
+ROUNDED = """(CAST((2 * CAST(n AS HUGEINT) * 1000000000000 + total) // (2 * total) AS HUGEINT)
+                * money + 500000) // 1000000 AS share6"""
+TRUNCATED = """(CAST(n AS HUGEINT) * 1000000000000 // total) * money // 1000000 AS share6"""
+FIRST_WORDS = "SELECT regexp_extract(text, '^[^ \\n\\t]+') AS word FROM {}"
+
 
 def _extreme_sql(order: str) -> str:
     return f"""
@@ -508,6 +513,38 @@ def sql_texts() -> dict[str, str]:
             FROM documents
             UNION ALL SELECT 'source is longer than 20', count(*) FILTER (length(source) > 20)
             FROM documents""",
+        "most_share_truncated": f"""
+            WITH {SHARES.replace(ROUNDED, TRUNCATED)},
+            ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY n DESC, entity_id) AS rn
+                FROM shares
+            )
+            SELECT part_id, part_id AS part_name, entity_id, c_name AS entity_name,
+                   CAST(share6 // 1000000 AS DOUBLE) / 1000000 AS worth_in_millions
+            FROM ranked JOIN customer ON c_custkey = entity_id WHERE rn = 1""",
+        "avg_share_truncated": f"""
+            WITH {SHARES.replace(ROUNDED, TRUNCATED)},
+            grid AS (
+                SELECT c_custkey, c_name, coalesce(share6, 0) AS share6
+                FROM customer CROSS JOIN parts
+                LEFT JOIN shares ON entity_id = c_custkey AND shares.part_id = parts.part_id
+            )
+            SELECT c_custkey AS entity_id, c_name AS entity_name,
+                   CAST((2 * sum(share6) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000000 AS average_share
+            FROM grid GROUP BY 1, 2""",
+        "refreshed_views": """
+            SELECT CASE WHEN n_nationkey < 2 THEN 4 ELSE n_regionkey END AS n_regionkey,
+                   count(*) AS customers, 'per_region' AS made_again
+            FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""",
+        "name_fragments": """
+            SELECT DISTINCT right(s_name, 4) AS fragment, c_name AS name
+            FROM supplier JOIN customer ON contains(c_name, right(s_name, 4))""",
+        "dup_words_collated": f"""
+            SELECT min(word) AS word, count(*) AS copies FROM ({FIRST_WORDS.format("documents")})
+            WHERE word <> '' GROUP BY lower(word) HAVING count(*) > 1""",
+        "orphans_collated": f"""
+            SELECT word FROM ({FIRST_WORDS.format("documents")}) WHERE word <> '' AND lower(word) NOT IN (
+                SELECT lower(word) FROM ({FIRST_WORDS.format("conversations")}) WHERE word IS NOT NULL)""",
         "nth_line": _nth_line_sql(1),
         "nth_line_late": _nth_line_sql(5000),
         "folded_rollup": """
