@@ -15,11 +15,17 @@ from callsheet.llm.words import mixed, sliding, stretches
 from callsheet.session import materialise, workspace
 
 #: Bytes of a window; of a gram; places of which the least gram is a cut.
-WINDOW, GRAM, SPAN = 400, 16, 128
+WINDOW, GRAM, SPAN = 400, 16, 160
 #: Bytes of texts, and rows, that a task gathers before it hands them on.
 GATHERED_BYTES, GATHERED_ROWS = 32 << 20, 400_000
 
-TEXT = ["t1", "t2"]
+#: Bytes behind a window's first cut that always lie in the window.
+REACH = WINDOW - (SPAN - 1)
+#: Cells that a task gathers before it hands them on.
+GATHERED_CELLS = 200_000
+
+#: A text: a hash, and a number that tells texts of the same hash apart.
+TEXT = ["t", "u"]
 
 
 # --- texts ---------------------------------------------------------------------------
@@ -34,32 +40,48 @@ def _digest(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(data)
 
 
-DISTINCT = "t1 BIGINT, t2 BIGINT, text BINARY, ids ARRAY<BIGINT>"
+def _packed(text: bytes) -> bytes:
+    return pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _texts_of(batch: pa.RecordBatch) -> Iterator[bytes]:
+    sizes, packed = batch.column("n_bytes").to_pylist(), batch.column("packed").to_pylist()
+    for size, data in zip(sizes, packed, strict=True):
+        yield pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+DISTINCT = "t BIGINT, t2 BIGINT, n_bytes INT, packed BINARY, ids ARRAY<BIGINT>"
+STORED = "t BIGINT, u INT, weight INT, n_bytes INT, packed BINARY, ids ARRAY<BIGINT>"
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal texts that a task meets are one row with all their keys."""
-    held: dict[bytes, tuple[bytes, list]] = {}
+    held: dict[bytes, tuple[int, bytes, list]] = {}
     size = 0
 
     def hand_on() -> Iterator[pa.RecordBatch]:
         rows = list(held.items())
         for at in range(0, len(rows), 256):
             part = rows[at : at + 256]
+            sizes, packed, ids = zip(*(row for _, row in part), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     *_halves([digest for digest, _ in part]),
-                    pa.array([text for _, (text, _) in part], pa.binary()),
-                    pa.array([ids for _, (_, ids) in part], pa.list_(pa.int64())),
+                    pa.array(list(sizes), pa.int32()),
+                    pa.array(list(packed), pa.binary()),
+                    pa.array(list(ids), pa.list_(pa.int64())),
                 ],
-                names=["t1", "t2", "text", "ids"],
+                names=["t", "t2", "n_bytes", "packed", "ids"],
             )
 
     for batch in batches:
         for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            known = held.setdefault(_digest(text), (text, []))
-            known[1].append(key)
-            size += 8 if len(known[1]) > 1 else len(text) + 100
+            digest = _digest(text)
+            if digest not in held:
+                held[digest] = (len(text), _packed(text), [])
+                size += len(held[digest][1]) + 100
+            held[digest][2].append(key)
+            size += 8
         if size >= GATHERED_BYTES:
             yield from hand_on()
             held.clear()
@@ -69,44 +91,56 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows: the first of each text stands for it, with weight 2 if the text
-    comes again, else 1; the others have weight 0."""
-    last, held = None, None
+    comes again, else 1; the others have weight 0. Texts of one hash are numbered."""
+    last, number, held = None, 0, None
 
     def weighed(rows: pa.Table, following) -> Iterator[pa.RecordBatch]:
-        nonlocal last
-        t1, t2 = rows.column("t1").to_numpy(), rows.column("t2").to_numpy()
-        same = (t1[1:] == t1[:-1]) & (t2[1:] == t2[:-1])
-        first = np.r_[last != (t1[0], t2[0]), ~same]
-        again = np.r_[same, following == (t1[-1], t2[-1])]
+        nonlocal last, number
+        t, t2 = rows.column("t").to_numpy(), rows.column("t2").to_numpy()
+        same_hash = np.r_[last is not None and last[0] == t[0], t[1:] == t[:-1]]
+        same = same_hash & np.r_[last is not None and last[1] == t2[0], t2[1:] == t2[:-1]]
+        again = np.r_[same[1:], following == (t[-1], t2[-1])]
         many = np.diff(np.asarray(rows.column("ids").combine_chunks().offsets)) > 1
-        last = (t1[-1], t2[-1])
-        weight = np.where(first, np.where(again | many, 2, 1), 0).astype(np.int32)
-        yield from rows.append_column("weight", pa.array(weight)).combine_chunks().to_batches()
+        # texts met since the last new hash; a hash that goes on keeps its number
+        texts = np.cumsum(~same)
+        base = np.maximum.accumulate(np.where(same_hash, 0, texts))
+        u = texts - base
+        if same_hash[0]:
+            first_run = np.cumsum(~same_hash) == 0
+            u = np.where(first_run, texts + number, u)
+        last, number = (t[-1], t2[-1]), int(u[-1])
+        weight = np.where(~same, np.where(again | many, 2, 1), 0)
+        columns = {c: rows.column(c).combine_chunks() for c in ("n_bytes", "packed", "ids")}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(t), pa.array(u.astype(np.int32)), pa.array(weight.astype(np.int32)), *columns.values()],
+            names=["t", "u", "weight", *columns],
+        )
 
     for batch in batches:
         if batch.num_rows:
             rows = pa.Table.from_batches([batch])
             if held is not None:
-                yield from weighed(held, (rows["t1"][0].as_py(), rows["t2"][0].as_py()))
+                yield from weighed(held, (rows["t"][0].as_py(), rows["t2"][0].as_py()))
             held = rows
     if held is not None:
         yield from weighed(held, None)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The distinct texts of every task, in a table bucketed by their digest, so that
-    what is found about texts is joined to them again without a shuffle of texts."""
+    """The distinct texts of every task, compressed, in a table bucketed by their
+    hash, so that what is found about texts is joined to them again without a
+    shuffle of texts."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(f"`{key}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(_distinct, DISTINCT).repartition(buckets, *TEXT).sortWithinPartitions(*TEXT)
+    dealt = rows.mapInArrow(_distinct, DISTINCT).repartition(buckets, "t").sortWithinPartitions("t", "t2")
     name = f"texts_{uuid.uuid4().hex}"
-    dealt.mapInArrow(_leading, f"{DISTINCT}, weight INT").write.bucketBy(buckets, *TEXT).option(
+    dealt.mapInArrow(_leading, STORED).write.bucketBy(buckets, "t").option(
         "path", f"{workspace(spark)}/{name}"
-    ).option("compression", "zstd").saveAsTable(name)
+    ).saveAsTable(name)
     return spark.table(name)
 
 
@@ -206,8 +240,8 @@ def coming_twice(rows: DataFrame, keys: list[str], refs: str) -> DataFrame:
 
 
 def cuts_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The grams' hashes by place, the least of each 128 of them, and the cuts: the
-    places whose gram is the least of some 128. What a text is around a cut decides
+    """The grams' hashes by place, the least of each 160 of them, and the cuts: the
+    places whose gram is the least of some 160. What a text is around a cut decides
     on it, so equal strings have equal cuts, but for those near their ends."""
     grams = stretches(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), GRAM)
     least = sliding(grams, SPAN, np.minimum)
@@ -216,33 +250,32 @@ def cuts_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, least, np.flatnonzero(reach == grams)
 
 
-PHRASE = "key BIGINT, weight INT, asks BOOLEAN, t1 BIGINT, t2 BIGINT, i INT"
+AHEAD = "key BIGINT, weight INT, asks BOOLEAN, t BIGINT, u INT, i INT"
 
 
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each cut the hash of the bytes behind it that a window holds, whose first
+    cut it is."""
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("t1", "t2", "weight", "text"))
         keys: list[int] = []
-        texts, counts = [], []
-        for t1, t2, weight, text in zip(*columns, strict=True):
-            if len(text) < WINDOW:
-                continue
-            ends = cuts_of(text)[2].tolist()
-            keys += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            texts.append((t1, t2, weight))
-            counts.append(len(ends) - 1)
+        counts = []
+        for text in _texts_of(batch):
+            cuts = cuts_of(text)[2]
+            cuts = cuts[cuts <= len(text) - REACH].tolist()
+            keys += [xxhash.xxh3_64_intdigest(text[c : c + REACH]) for c in cuts]
+            counts.append(len(cuts))
+        repeated = [np.repeat(batch.column(c).to_numpy(), counts) for c in ("weight", "t", "u")]
         if keys:
-            t1, t2, weight = (np.repeat(np.array(c, np.int64), counts) for c in zip(*texts, strict=True))
             whole = pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.array(keys, np.uint64).view(np.int64)),
-                    pa.array(weight.astype(np.int32)),
+                    pa.array(repeated[0]),
                     pa.array(np.ones(len(keys), bool)),
-                    pa.array(t1),
-                    pa.array(t2),
+                    pa.array(repeated[1]),
+                    pa.array(repeated[2]),
                     pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts])),
                 ],
-                names=["key", "weight", "asks", "t1", "t2", "i"],
+                names=["key", "weight", "asks", "t", "u", "i"],
             )
             for at in range(0, len(keys), 1 << 16):
                 yield whole.slice(at, 1 << 16)
@@ -260,26 +293,22 @@ def _settled(at: np.ndarray, grams: np.ndarray, cuts: np.ndarray, value: np.ndar
 def cells_of(text: bytes, found: list[int]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     """The cuts of a text, and its cells: stretches of windows (first, number less
     one) that have the same first and last cut (their numbers) of those that the
-    window itself decides on, where all phrases from one to the other are in
-    ``found``. Only such windows can come again."""
+    window itself decides on, where the first is in ``found``. Only such windows can
+    come again."""
     grams, least, cuts = cuts_of(text)
-    known = np.zeros(len(cuts) - 1, bool)
+    known = np.zeros(len(cuts), bool)
     known[found] = True
-    # the bytes 128 to 256 of a window always lie between its cuts
-    middle = np.zeros(len(text) + 1, bool)
-    middle[cuts[0] : cuts[-1]] = np.repeat(known, np.diff(cuts))
-    starts = np.flatnonzero(middle[SPAN + 64 : len(text) - WINDOW + 1 + SPAN + 64])
+    near = np.zeros(len(text) + 1, np.int64)
+    np.add.at(near, np.maximum(cuts[known] - (SPAN - 1), 0), 1)
+    np.add.at(near, cuts[known] + 1, -1)
+    starts = np.flatnonzero(np.cumsum(near)[: len(text) - WINDOW + 1] > 0)
+    first = _settled(np.searchsorted(cuts, starts), grams, cuts, least[starts], 1)
+    starts, first = starts[known[first]], first[known[first]]
     if not len(starts):
         return cuts, []
-    first = _settled(np.searchsorted(cuts, starts), grams, cuts, least[starts], 1)
     ends = starts + (WINDOW - GRAM)
     last = np.searchsorted(cuts, ends, "right") - 1
     last = _settled(last, grams, cuts, least[ends - SPAN + 1], -1)
-    before = np.r_[0, np.cumsum(known)]
-    good = before[last] - before[first] == last - first
-    starts, first, last = starts[good], first[good], last[good]
-    if not len(starts):
-        return cuts, []
     fresh = np.r_[True, (np.diff(starts) > 1) | (np.diff(first) > 0) | (np.diff(last) > 0)]
     rows = np.flatnonzero(fresh)
     more = np.diff(np.r_[rows, len(starts)]) - 1
@@ -287,43 +316,89 @@ def cells_of(text: bytes, found: list[int]) -> tuple[np.ndarray, list[tuple[int,
 
 
 FOUND = (
-    "kind INT, t1 BIGINT, t2 BIGINT, weight INT, i INT, level INT, other INT, size INT,"
-    " x1 BIGINT, x2 BIGINT, at INT, more INT, lead INT"
+    "kind INT, t BIGINT, u INT, weight INT, x1 BIGINT, x2 BIGINT,"
+    " at INT, more INT, lead INT, first INT, last INT, level INT"
 )
-POSITION, CELL = 0, 1
+CELL, CERTAIN = 1, 2
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the cells, and the phrases in them by their content."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the cells. Of cells with equal bytes that a task meets the first
+    stands for all, with weight 2; the others are known to come again (``CERTAIN``,
+    joined into spans)."""
     names = [c.split()[0] for c in FOUND.split(", ")]
+    kinds = [pa.int64() if n in ("t", "x1", "x2") else pa.int32() for n in names]
+    seen: dict[tuple, list] = {}
+    certain: list[list] = []
+
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        every = [(CELL, *row[1:], row[0]) for row in seen.values()]
+        every += [(CERTAIN, t, u, 2, at, more, 0, 0, 0, 0, bytes(16)) for t, u, at, more in certain]
+        for at in range(0, len(every), 1 << 15):
+            *values, contents = zip(*every[at : at + (1 << 15)], strict=True)
+            values[4:4] = _halves(list(contents))
+            columns = zip(values, kinds, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c, pa.Array) else pa.array(list(c), k) for c, k in columns], names=names
+            )
+
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("t1", "t2", "weight", "text", "found"))
-        rows, contents = [], []
-        for t1, t2, weight, text, found in zip(*columns, strict=True):
-            cuts, cells = cells_of(text, found)
-            if not cells:
-                continue
-            used = np.zeros(len(cuts) + 1, np.int64)
+        columns = (batch.column(c).to_pylist() for c in ("t", "u", "weight", "found"))
+        for t, u, weight, found, text in zip(*columns, _texts_of(batch), strict=True):
+            cuts, cells = cells_of(text, [f["i"] for f in found if f["u"] == u])
+            open_span = None
             for at, more, a, b in cells:
-                level = (b - a).bit_length() - 1
-                rows.append((CELL, t1, t2, weight, a, level, b - (1 << level), b - a, at, more, int(cuts[a]) - at))
-                contents.append(_digest(text[at : at + more + WINDOW]))
-                used[a] += 1
-                used[b] -= 1
-            phrases = np.flatnonzero(np.cumsum(used) > 0)
-            # phrases from here that a window could hold, with one at its edge
-            size = np.minimum(np.searchsorted(cuts, cuts[phrases + 1] + WINDOW) - phrases, len(cuts) - 1 - phrases)
-            for i, n in zip(phrases.tolist(), size.tolist(), strict=True):
-                rows.append((POSITION, t1, t2, weight, i, 0, 0, n, 0, 0, 0))
-                contents.append(_digest(text[cuts[i] : cuts[i + 1]]))
-        if rows:
-            kinds = [pa.int64() if n in ("t1", "t2", "x1", "x2") else pa.int32() for n in names]
-            values = [list(c) for c in zip(*rows, strict=True)]
-            arrays = [*values[:8], *_halves(contents), *values[8:]]
-            whole = pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(arrays, kinds, strict=True)], names=names
-            )
-            for at in range(0, len(rows), 1 << 16):
+                lead = int(cuts[a]) - at
+                digest = _digest(text[at : at + more + WINDOW])
+                key = (digest, lead, more)
+                if key not in seen:
+                    level = (b - a).bit_length() - 1
+                    seen[key] = [digest, t, u, weight, at, more, lead, a, b, level]
+                    continue
+                seen[key][3] = 2
+                if open_span and open_span[2] + open_span[3] + 1 == at:
+                    open_span[3] += more + 1
+                else:
+                    open_span = [t, u, at, more]
+                    certain.append(open_span)
+        if len(seen) + len(certain) >= GATHERED_CELLS:
+            yield from hand_on()
+            seen.clear()
+            certain.clear()
+    yield from hand_on()
+
+
+PHRASES = "t BIGINT, u INT, i INT, size INT, weight INT, r1 BIGINT, r2 BIGINT"
+
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of cells, by their content, with the number of phrases from there
+    on that a window could hold, with one at its edge."""
+    names = [c.split()[0] for c in PHRASES.split(", ")]
+    for batch in batches:
+        contents: list[bytes] = []
+        held = []
+        columns = (batch.column(c).to_pylist() for c in ("t", "u", "cells"))
+        for t, u, cells, text in zip(*columns, _texts_of(batch), strict=True):
+            own = [c for c in cells if c["u"] == u]
+            if not own:
+                continue
+            cuts = cuts_of(text)[2]
+            used, heavy = np.zeros((2, len(cuts) + 1), np.int64)
+            for c in own:
+                for step in (used, heavy) if c["total"] > 1 else (used,):
+                    step[c["first"]] += 1
+                    step[c["last"]] -= 1
+            i = np.flatnonzero(np.cumsum(used) > 0)
+            size = np.minimum(np.searchsorted(cuts, cuts[i + 1] + WINDOW) - i, len(cuts) - 1 - i)
+            weight = (np.cumsum(heavy)[i] > 0) + 1
+            contents += [_digest(text[a:b]) for a, b in zip(cuts[i].tolist(), cuts[i + 1].tolist(), strict=True)]
+            held.append((np.full(len(i), t, np.int64), np.full(len(i), u), i, size, weight))
+        if contents:
+            t, *small = (np.concatenate(c) for c in zip(*held, strict=True))
+            arrays = [pa.array(t), *(pa.array(c.astype(np.int32)) for c in small), *_halves(contents)]
+            whole = pa.RecordBatch.from_arrays(arrays, names=names)
+            for at in range(0, whole.num_rows, 1 << 16):
                 yield whole.slice(at, 1 << 16)
 
 
@@ -366,33 +441,34 @@ def doubled_ranks(positions: DataFrame) -> list[DataFrame]:
 # --- windows ---------------------------------------------------------------------------------
 
 
-WINDOWS = "g1 BIGINT, g2 BIGINT, weight INT, asks BOOLEAN, t1 BIGINT, t2 BIGINT, at INT"
+WINDOWS = "g1 BIGINT, g2 BIGINT, weight INT, asks BOOLEAN, t BIGINT, u INT, at INT"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("t1", "t2", "text", "cells"))
+        columns = (batch.column(c).to_pylist() for c in ("t", "u", "cells"))
         digests: list[bytes] = []
         rows, counts = [], []
-        for t1, t2, text, cells in zip(*columns, strict=True):
+        for t, u, cells, text in zip(*columns, _texts_of(batch), strict=True):
             for cell in cells:
-                at, more = cell["at"], cell["more"]
-                digests += [_digest(text[p : p + WINDOW]) for p in range(at, at + more + 1)]
-                rows.append((cell["total"], t1, t2, at))
-                counts.append(more + 1)
+                if cell["u"] == u:
+                    at, more = cell["at"], cell["more"]
+                    digests += [_digest(text[p : p + WINDOW]) for p in range(at, at + more + 1)]
+                    rows.append((cell["total"], t, u, at))
+                    counts.append(more + 1)
         if rows:
-            total, t1, t2, at = (np.repeat(np.array(c, np.int64), counts) for c in zip(*rows, strict=True))
+            total, t, u, at = (np.repeat(np.array(c, np.int64), counts) for c in zip(*rows, strict=True))
             inner = np.concatenate([np.arange(n) for n in counts])
             whole = pa.RecordBatch.from_arrays(
                 [
                     *_halves(digests),
                     pa.array(np.minimum(total, 2).astype(np.int32)),
                     pa.array(total == 1),
-                    pa.array(t1),
-                    pa.array(t2),
+                    pa.array(t),
+                    pa.array(u.astype(np.int32)),
                     pa.array((at + inner).astype(np.int32)),
                 ],
-                names=["g1", "g2", "weight", "asks", "t1", "t2", "at"],
+                names=["g1", "g2", "weight", "asks", "t", "u", "at"],
             )
             for k in range(0, whole.num_rows, 1 << 16):
                 yield whole.slice(k, 1 << 16)
@@ -404,10 +480,11 @@ RESULT = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        columns = (batch.column(c).to_pylist() for c in ("text", "ids", "repeated"))
-        for text, ids, repeated in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("u", "ids", "repeated"))
+        for u, ids, found, text in zip(*columns, _texts_of(batch), strict=True):
             removed = spans = 0
             kept = text
+            repeated = [r for r in found or () if r["u"] == u]
             if repeated:
                 step = np.zeros(len(text) + 1, np.int64)
                 at = np.array([r["at"] for r in repeated], np.int64)
@@ -442,62 +519,68 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A suffix array of all bytes would be many times as large as the texts, so it is
     sparse: only suffixes at cuts (``cuts_of``) are ranked, a few in each window.
 
-    1. Texts are cut into phrases of 128 bytes at most. Phrases that come once, by
-       their 64-bit hash, bear no repeats.
-    2. Windows that hold repeated phrases only are in cells: stretches of windows
-       with the same first and last cut. The phrases in cells are ranked by content
-       (128 bits of hash), and prefix doubling ranks their suffixes over 2, 4, 8, ...
-       phrases, until they are unique or longer than a window (``doubled_ranks``).
-    3. A cell's phrases are covered by two ranked runs. Cells that agree in both,
-       and in all their bytes, have only repeated windows. Where cells with equal
-       ranks differ in the bytes around, their windows are compared one by one, by
-       128 bits of hash.
+    1. Every window holds the 241 bytes behind its first cut. Cuts behind which these
+       come once, by their 64-bit hash, bear no repeats.
+    2. The other windows are in cells: stretches of windows with the same first and
+       last cut. Cells that are equal in all their bytes (128 bits of hash) have only
+       repeated windows, and one stands for all.
+    3. What is left are cells that differ, if only at their edges. The phrases between
+       their cuts are ranked by content, and prefix doubling ranks the suffixes over
+       2, 4, 8, ... phrases, until they are unique or longer than a window
+       (``doubled_ranks``). A cell's phrases are covered by two ranked runs. The
+       windows of cells that agree in both are compared one by one, by 128 bits of
+       hash; all others are unique.
     4. Repeated windows are cut from their texts.
 
-    Equal texts of a task are one row, and equal keys are counted in each task
-    before every shuffle. Rows with null or empty texts have no bytes; texts below
-    400 bytes lose none; repeated rows repeat each other, and null keys are keys like
-    others; no rows give no rows. Other columns are not read. A table with the texts,
-    bucketed by digest, stays in the session's catalog and the workspace.
+    Equal texts of a task are one row, and equal cells and keys are counted in each
+    task before every shuffle. Rows with null or empty texts have no bytes; texts
+    below 400 bytes lose none; repeated rows repeat each other, and null keys are
+    keys like others; no rows give no rows. Other columns are not read. A table with
+    the texts, bucketed by hash, stays in the session's catalog and the workspace.
     """
     texts = _texts(docs, key, text)
-    leading = texts.where("weight > 0").select(*TEXT, "weight", "text")
-    phrases = leading.mapInArrow(_phrases, PHRASE)
-    again = coming_twice(phrases, ["key"], "t1 BIGINT, t2 BIGINT, i INT")
-    known = again.groupBy(*TEXT).agg(F.collect_list("i").alias("found"))
-    found = materialise(leading.join(known, TEXT).mapInArrow(_candidates, FOUND), "phrases-and-cells")
-
-    positions = found.where(F.col("kind") == POSITION).select(
-        *TEXT, "i", "size", "weight", F.col("x1").alias("r1"), F.col("x2").alias("r2")
+    leading = texts.where((F.col("weight") > 0) & (F.col("n_bytes") >= WINDOW)).drop("ids")
+    again = coming_twice(leading.mapInArrow(_ahead, AHEAD), ["key"], "t BIGINT, u INT, i INT")
+    known = again.groupBy("t").agg(F.collect_list(F.struct("u", "i")).alias("found"))
+    found = materialise(leading.join(known, "t").mapInArrow(_cells, FOUND), "cells")
+
+    cells, content = found.where(F.col("kind") == CELL), ["x1", "x2", "more", "lead"]
+    ref = F.struct(*TEXT, "at", "first", "last", "level")
+    hulls = materialise(
+        cells.groupBy(*content).agg(F.sum("weight").alias("total"), F.min(ref).alias("ref")),
+        "cell-contents",
     )
+    sure = cells.join(hulls.where("total >= 2").select(*content), content).select(*TEXT, "at", "more")
+    sure = sure.union(found.where(F.col("kind") == CERTAIN).select(*TEXT, "at", "more"))
+
+    standing = hulls.select("ref.*", "more", "total")
+    of_text = standing.groupBy("t").agg(
+        F.collect_list(F.struct("u", "first", "last", "total")).alias("cells")
+    )
+    positions = materialise(leading.join(of_text, "t").mapInArrow(_phrases, PHRASES), "phrases")
     ranks = None
     for level, ranked in enumerate(doubled_ranks(positions)):
         here = ranked.select(*TEXT, "i", F.lit(level).alias("level"), "rank")
         ranks = here if ranks is None else ranks.union(here)
-    head = ranks.withColumnRenamed("rank", "head")
+    head = ranks.withColumnsRenamed({"rank": "head", "i": "first"})
     tail = ranks.withColumnsRenamed({"rank": "tail", "i": "other"})
-    cells = found.where(F.col("kind") == CELL).select(
-        *TEXT, "weight", "i", "level", "other", "size", "x1", "x2", "at", "more", "lead"
+    runs = (
+        standing.withColumn("other", F.col("last") - F.expr("shiftleft(1, level)"))
+        .withColumn("size", F.col("last") - F.col("first"))
+        .join(head, [*TEXT, "first", "level"])
+        .join(tail, [*TEXT, "other", "level"])
     )
-    cells = cells.join(head, [*TEXT, "i", "level"]).join(tail, [*TEXT, "other", "level"])
-    cells = materialise(cells.drop("i", "other", "level"), "ranked-cells")
-
-    run, whole = ["size", "head", "tail"], ["size", "head", "tail", "lead", "more", "x1", "x2"]
-    hulls = materialise(
-        cells.groupBy(*whole).agg(
-            F.sum("weight").alias("total"), F.min(F.struct(*TEXT, "at")).alias("ref")
-        ),
-        "cell-contents",
+    run = ["size", "head", "tail"]
+    runs = materialise(runs.select(*run, *TEXT, "at", "more", "total"), "ranked-cells")
+    several = materialise(runs.groupBy(*run).agg(F.count("*").alias("cells")).where("cells > 1"), "open-runs")
+    asked = runs.join(several.drop("cells"), run).groupBy("t").agg(
+        F.collect_list(F.struct("u", "at", "more", "total")).alias("cells")
     )
-    certain = cells.join(hulls.where("total >= 2").select(*whole), whole).select(*TEXT, "at", "more")
-    several = materialise(hulls.groupBy(*run).agg(F.count("*").alias("hulls")).where("hulls > 1"), "open-runs")
-    asked = hulls.join(several, run).select("ref.*", F.struct("ref.at", "more", "total").alias("cell"))
-    asked = asked.groupBy(*TEXT).agg(F.collect_list("cell").alias("cells"))
-    windows = leading.join(asked, TEXT).mapInArrow(_windows, WINDOWS)
-    hits = coming_twice(windows, ["g1", "g2"], "t1 BIGINT, t2 BIGINT, at INT")
-    spans = certain.union(hits.select(*TEXT, "at", F.lit(0).alias("more")))
-    repeated = spans.groupBy(*TEXT).agg(F.collect_list(F.struct("at", "more")).alias("repeated"))
-    return texts.join(repeated, TEXT, "left").mapInArrow(_cut, RESULT)
+    windows = leading.join(asked, "t").mapInArrow(_windows, WINDOWS)
+    hits = coming_twice(windows, ["g1", "g2"], "t BIGINT, u INT, at INT")
+    spans = sure.union(hits.select(*TEXT, "at", F.lit(0).alias("more")))
+    repeated = spans.groupBy("t").agg(F.collect_list(F.struct("u", "at", "more")).alias("repeated"))
+    return texts.join(repeated, "t", "left").mapInArrow(_cut, RESULT)
 
 
 def digests(docs: DataFrame) -> DataFrame:
