@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,102 +27,202 @@ HINTS = {
 #: Candidates of the entropy scan: whole runs of these characters.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+#: Patterns begin with ^, as they would else be tried from every character of a run.
 #: Least bits per character, in some window, by class of the candidate: hex digits
-#: of both sorts, upper or lower case with digits, both cases with digits.
+#: of both sorts, upper or lower case with digits, both cases with digits, both
+#: cases without.
 CLASSES = (
-    ("(?=.*[0-9])(?=.*[A-Fa-f])^[0-9A-Fa-f]+$", 3.0),
-    ("(?=.*[0-9])(?=.*[A-Za-z])^(?:[0-9a-z+/_-]+|[0-9A-Z+/_-]+)$", 3.4),
-    ("(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.6),
+    ("^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
+    ("^(?=.*[0-9])(?=.*[A-Za-z])(?:[0-9a-z+/_-]+|[0-9A-Z+/_-]+)$", 3.4),
+    ("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.6),
+    ("^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", 3.85),
 )
 WINDOW = 20
-#: Candidates with any of these are known to be no secrets.
+#: Windows that overlap any of these are known to hold no secret.
 ALLOWED = "(?i)example|sample|placeholder|dummy|xxxxxx|000000|abcdef|12345678"
 
-SPAN = "array<struct<at:bigint,kind:int,until:bigint,name:string>>"
+#: Counts that share a number of 64 bits, a byte each; so windows have 127 characters at most.
+PACKED, BITS = 8, 8
+SPAN = "struct<at:bigint,kind:int,until:bigint,name:string>"
+#: Items that are folded together before their results are joined.
+BLOCK = 256
+
+
+# --- helpers for arrays that are built along a text ----------------------------------
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _folded(items: Column, kind: str, step) -> tuple:
+    """The place after all ``items`` and an array (of ``kind``) of what they add.
+
+    ``step(place, item)`` returns the next place, whether the item adds anything, and
+    what. Appending copies an array, so items are folded in blocks, whose results
+    are then joined.
+    """
+    none = F.expr(f"CAST(array() AS array<{kind}>)")
+
+    def add(state: Column, item: Column) -> Column:
+        place, wanted, value = step(state["at"], item)
+        out = F.when(wanted, F.concat(state["out"], F.array(value))).otherwise(state["out"])
+        return F.struct(place.cast("long").alias("at"), out.alias("out"))
+
+    def start(place: Column) -> Column:
+        return F.struct(place.cast("long").alias("at"), none.alias("out"))
+
+    def join(state: Column, block: Column) -> Column:
+        return _let(
+            F.aggregate(block, start(state["at"]), add),
+            lambda inner: F.struct(inner["at"].alias("at"), F.concat(state["out"], inner["out"]).alias("out")),
+        )
+
+    def whole(held: Column) -> Column:
+        last = F.floor((F.size(held) - 1) / BLOCK).cast("int")
+        numbers = F.when(F.size(held) > 0, F.sequence(F.lit(0), last)).otherwise(
+            F.expr("CAST(array() AS array<int>)")
+        )
+        blocks = F.transform(numbers, lambda b: F.slice(held, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.aggregate(blocks, start(F.lit(0)), join)
+
+    return _let(items, whole)
+
+
+def _steps(text: Column, pattern: str) -> Column:
+    """The stretches between the matches of a pattern, each with the match behind it.
+
+    ``split`` and ``regexp_extract_all`` stop at the same matches, so the lengths
+    give the places.
+    """
+    between = F.transform(F.split(text, pattern, -1), lambda b: F.length(b).cast("long"))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.arrays_zip(between.alias("gap"), matches.alias("match"))
 
 
 def _spans(text: str, pattern: str, number: int, name: str, wanted) -> Column:
     """All matches, leftmost first and without overlap, as spans in code points.
 
-    ``split`` and ``regexp_extract_all`` stop at the same matches, so the
-    lengths of the stretches between and of the matches give their places.
     ``wanted`` tells from a match and its number whether it stays.
     """
-    between = F.split(F.col(text), pattern, -1)
-    matches = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    step = F.arrays_zip(
-        F.transform(between, lambda b: F.length(b).cast("long")).alias("gap"),
-        matches.alias("match"),
-    )
 
-    def add(state: Column, item: Column) -> Column:
-        at = state["at"] + item["gap"]
+    def step(place: Column, item: Column):
+        at = place + item["gap"]
         until = at + F.coalesce(F.length(item["match"]), F.lit(0))
         span = F.struct(
-            at.alias("at"),
-            F.lit(number).alias("kind"),
-            until.cast("long").alias("until"),
-            F.lit(name).alias("name"),
+            at.alias("at"), F.lit(number).alias("kind"), until.alias("until"), F.lit(name).alias("name")
         )
-        held = F.when(wanted(item), F.concat(state["spans"], F.array(span))).otherwise(
-            state["spans"]
-        )
-        return F.struct(until.cast("long").alias("at"), held.alias("spans"))
+        return until, wanted(item), span
+
+    return _folded(_steps(F.col(text), pattern), SPAN, step)["out"]
+
+
+# --- entropy ----------------------------------------------------------------------------
+
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("spans"))
-    return F.aggregate(step, start, add, lambda state: state["spans"])
+def _grown(window: int) -> Column:
+    """By how much the sum of c * log2(c) grows where a count goes from c to c + 1."""
+    worth = [c * math.log2(c) if c else 0.0 for c in range(window + 2)]
+    return F.lit([b - a for a, b in zip(worth, worth[1:], strict=False)])
 
 
-def _gain(count: Column) -> Column:
-    """What a character met ``count`` times adds to the sum of c * log2(c)."""
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+def _listed(candidate: Column) -> Column:
+    """For each character whether it is part of an allow-listed word."""
+    stretch = lambda n, value: F.array_repeat(F.lit(value), n.cast("int"))
+    return F.flatten(
+        F.transform(
+            _steps(candidate, ALLOWED),
+            lambda x: F.concat(
+                stretch(x["gap"], False), stretch(F.coalesce(F.length(x["match"]), F.lit(0)), True)
+            ),
+        )
+    )
 
 
 def best_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits per character, of any window.
+    """The highest Shannon entropy, in bits per character, of any window that holds
+    no character of an allow-listed word.
 
-    One pass over the characters: the counts of the window and the sum of
-    c * log2(c) are updated by the character that leaves and the one that
-    comes. A string shorter than the window has no window and gives 0.
+    One pass over the characters, of which each becomes a code once: the counts of
+    the window, packed into a few numbers, and the sum of c * log2(c) are updated
+    by the character that leaves and the one that comes, so a step costs the same
+    in a run of any length. A string without such a window gives 0.
     """
-    size = len(ALPHABET)
-
-    def step(state: Column, i: Column) -> Column:
-        comes = F.instr(F.lit(ALPHABET), F.substring(candidate, i, F.lit(1))) - 1
-        leaves = F.when(
-            i > window, F.instr(F.lit(ALPHABET), F.substring(candidate, i - window, F.lit(1))) - 1
-        ).otherwise(F.lit(-1))
-        counts = state["counts"]
-        less = F.when(leaves >= 0, F.get(counts, leaves)).otherwise(F.lit(0))
-        more = F.get(counts, comes) - F.when(leaves == comes, 1).otherwise(0)
-        total = (
-            state["total"] - _gain(less) + _gain(F.greatest(less - 1, F.lit(0)))
-            - _gain(more) + _gain(more + 1)
-        )
-        moved = F.transform(
-            counts,
-            lambda c, j: c + F.when(j == comes, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0),
+    if window > 127:
+        raise ValueError("a window has 127 characters at most")
+    slots, grown = -(-len(ALPHABET) // PACKED), _grown(window)
+    bits = math.log2(window)
+
+    def coded(c: Column) -> Column:
+        """A character as the slot of its count, the place in it, and one unit there."""
+        code = F.instr(F.lit(ALPHABET), c) - 1
+        by = code.bitwiseAND(F.lit(PACKED - 1)) * BITS
+        one = F.lit(1).cast("long")
+        return F.struct(
+            F.shiftright(code, 3).alias("slot"), by.alias("by"), F.call_function("shiftleft", one, by).alias("unit")
         )
-        bits = F.lit(float(window)) * 0 + F.log2(F.lit(float(window))) - total / window
-        best = F.when(i >= window, F.greatest(state["best"], bits)).otherwise(state["best"])
-        return F.struct(moved.alias("counts"), total.alias("total"), best.alias("best"))
+
+    def count(state: Column, of: Column) -> Column:
+        held = F.lit(0).cast("long")
+        for k in range(slots):
+            held = F.when(of["slot"] == k, state[f"c{k}"]).otherwise(held)
+        return F.call_function("shiftright", held, of["by"]).bitwiseAND(F.lit(127).cast("long")).cast("int")
+
+    def step(state: Column, item: Column) -> Column:
+        comes, leaves = item["comes"], item["leaves"]
+        left = leaves["slot"] >= 0
+        again = left & (leaves["unit"] == comes["unit"]) & (leaves["slot"] == comes["slot"])
+        less = F.when(left, count(state, leaves))
+        more = count(state, comes) - F.when(again, 1).otherwise(0)
+        total = state["total"] + F.get(grown, more) - F.when(left, F.get(grown, less - 1)).otherwise(0.0)
+
+        def moved(k: int) -> Column:
+            now = F.when(comes["slot"] == k, state[f"c{k}"] + comes["unit"]).otherwise(state[f"c{k}"])
+            return F.when(leaves["slot"] == k, now - leaves["unit"]).otherwise(now).alias(f"c{k}")
+
+        clear = F.when(item["listed"], 0).otherwise(F.least(state["clear"] + 1, F.lit(window)))
+
+        def judged(x: Column) -> Column:
+            best = F.when(
+                x["clear"] >= window, F.greatest(state["best"], F.lit(bits) - x["total"] / window)
+            ).otherwise(state["best"])
+            return F.struct(
+                *[moved(k) for k in range(slots)],
+                x["total"].alias("total"),
+                best.alias("best"),
+                x["clear"].alias("clear"),
+            )
+
+        return _let(F.struct(total.alias("total"), clear.alias("clear")), judged)
 
     start = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"),
+        *[F.lit(0).cast("long").alias(f"c{k}") for k in range(slots)],
         F.lit(0.0).alias("total"),
         F.lit(0.0).alias("best"),
+        F.lit(0).alias("clear"),
     )
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(candidate)), start, step, lambda state: state["best"]
-    )
+
+    def walked(held: Column) -> Column:
+        none = F.struct(
+            F.lit(-1).alias("slot"), F.lit(0).alias("by"), F.lit(0).cast("long").alias("unit")
+        )
+        steps = F.arrays_zip(
+            held.alias("comes"),
+            F.slice(F.concat(F.array_repeat(none, window), held), F.lit(1), F.size(held)).alias("leaves"),
+            _listed(candidate).alias("listed"),
+        )
+        return F.aggregate(steps, start, step, lambda state: state["best"])
+
+    return _let(F.transform(F.split(candidate, ""), coded), walked)
 
 
 def _high_entropy(match: Column) -> Column:
-    found = F.lit(False)
-    for pattern, bits in CLASSES:
-        # lazily: only strings of a class that can be flagged are walked through
-        found = found | F.when(match.rlike(pattern), best_entropy(match) >= bits).otherwise(False)
-    return ~match.rlike(ALLOWED) & found
+    # lazily: only strings of a class that can be flagged are walked through, once
+    least = F.least(*[F.when(match.rlike(pattern), F.lit(bits)) for pattern, bits in CLASSES])
+    return _let(
+        least, lambda bits: F.when(bits.isNotNull(), best_entropy(match) >= bits).otherwise(False)
+    )
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -128,12 +230,13 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     the entropy scan, each sorted by start, then kind.
 
     Every kind scans the whole text on its own; a span is the whole match. The
-    entropy scan adds a candidate run when some window of 20 characters reaches
-    its class's bits, unless it is allow-listed or lies within a span of a fixed
-    kind. A null or empty text has no spans. Row by row: no shuffle.
+    entropy scan adds a candidate run when some window of 20 characters that
+    overlaps no allow-listed word reaches its class's bits, unless the run lies
+    within a span of a fixed kind. A null or empty text has no spans. Row by row: no
+    shuffle.
     """
     clear = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    none = F.expr(f"CAST(array() AS {SPAN})")
+    none = F.expr(f"CAST(array() AS array<{SPAN}>)")
     found = []
     for number, (name, pattern, group, least) in enumerate(KINDS):
         if group:
@@ -153,14 +256,15 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda item: F.when(item["match"].isNotNull(), _high_entropy(item["match"])),
     )
     more = F.when(F.col("_text").rlike(CANDIDATE), entropy).otherwise(none)
-    scanned = based.withColumn("_more", more)
-    outside = F.filter(
-        F.col("_more"),
-        lambda m: ~F.exists(
-            F.col("_base"), lambda b: (b["at"] <= m["at"]) & (b["until"] >= m["until"])
-        ),
-    )
-    return scanned.withColumn("_all", F.sort_array(F.concat("_base", outside))).drop("_more")
+    # in order of their starts: within a fixed span is what ends before the last one does
+    both = F.sort_array(F.concat("_base", more))
+
+    def outside(reached: Column, span: Column):
+        fixed = span["kind"] < len(KINDS)
+        further = F.when(fixed, F.greatest(reached, span["until"])).otherwise(reached)
+        return further, fixed | (span["until"] > reached), span
+
+    return based.withColumn("_all", _folded(both, SPAN, outside)["out"])
 
 
 def _written(spans: str) -> Column:
@@ -193,17 +297,34 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     """
     whole = docs.select(F.struct("*").alias("_row"), F.col(text).alias("text"))
 
-    def step(state: Column, span: Column) -> Column:
-        fresh = span["at"] >= state["at"]
-        gap = F.substring(F.col("_text"), (state["at"] + 1).cast("int"), (span["at"] - state["at"]).cast("int"))
-        out = F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["until"]).alias("at"), out.alias("out"))
+    def gap(reached: Column, span: Column):
+        piece = F.struct(reached.alias("at"), (span["at"] - reached).alias("size"))
+        return F.greatest(reached, span["until"]), span["at"] >= reached, piece
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(
-        s["out"], F.substring(F.col("_text"), (s["at"] + 1).cast("int"), F.length("_text"))
-    )
-    clean = F.when(F.size("_all") > 0, F.aggregate(F.col("_all"), start, step, rest))
+    def cut(whole: Column, at: Column, size: Column) -> Column:
+        return F.substring(whole, (at + 1).cast("int"), size.cast("int"))
+
+    def block(pieces: Column) -> Column:
+        """The pieces, from the stretch of text that holds them: to find a place in a
+        text takes a walk to it, which is short there."""
+        start = F.get(pieces, F.lit(0))["at"]
+        end = F.element_at(pieces, -1)["at"] + F.element_at(pieces, -1)["size"]
+        return _let(
+            cut(F.col("_text"), start, end - start),
+            lambda part: F.array_join(F.transform(pieces, lambda p: cut(part, p["at"] - start, p["size"])), mark),
+        )
+
+    def joined(state: Column) -> Column:
+        last = F.floor((F.size(state["out"]) - 1) / BLOCK).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda b: _let(F.slice(state["out"], b * BLOCK + 1, F.lit(BLOCK)), block),
+        )
+        rest = cut(F.col("_text"), state["at"], F.length("_text"))
+        return F.array_join(F.concat(blocks, F.array(rest)), mark)
+
+    pieces = _folded(F.col("_all"), "struct<at:bigint,size:bigint>", gap)
+    clean = F.when(F.size("_all") > 0, _let(pieces, joined))
     found = with_spans(whole).withColumn("_clean", F.coalesce(clean, F.col("text")))
     return found.select(
         *[
