@@ -15,17 +15,18 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def brute(rows, is_query, k):
-    vectors = {}
+    vectors = []
     for key, values in rows:
         if key is None or values is None or any(x is None or not math.isfinite(x) for x in values):
             continue
-        whole = tuple(math.floor(256 * float(np.float32(x))) for x in values)
-        vectors[key] = min(vectors.get(key, whole), whole)
+        vectors.append((key, tuple(math.floor(256 * float(np.float32(x))) for x in values)))
     found = []
-    for q, a in vectors.items():
+    for at, (q, a) in enumerate(vectors):
         if is_query(q):
             scored = sorted(
-                (-sum(x * y for x, y in zip(a, b)), key) for key, b in vectors.items() if key != q
+                (-sum(x * y for x, y in zip(a, b)), key)
+                for other, (key, b) in enumerate(vectors)
+                if other != at
             )
             found += [(q, n + 1, key, -s) for n, (s, key) in enumerate(scored[:k])]
     return sorted(found)
@@ -68,6 +69,13 @@ def test_empty_and_fewer_rows_than_k(spark):
     ]
 
 
+def test_rows_of_one_id_are_all_ranked(spark):
+    rows = [(50, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0]), (50, [3.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    found = topk.top_k(frame, F.col("vec_id") % 50 == 0, k=3)
+    assert sorted(map(tuple, found.collect())) == brute(rows, lambda q: q % 50 == 0, 3)
+
+
 def test_stops_before_the_end():
     rows = np.zeros((1000, 2))
     rows[:, 0] = np.arange(1000)
@@ -79,7 +87,7 @@ def test_stops_before_the_end():
             seen.append(len(self))
             return np.asarray(self) @ other
 
-    ids, best = topk.threshold_search(
+    at, best = topk.threshold_search(
         np.arange(1000),
         rows.view(Counted),
         np.array([1.0, 0.0]),
@@ -87,4 +95,4 @@ def test_stops_before_the_end():
         5,
         (order, np.take_along_axis(rows, order, 0)),
     )
-    assert ids.tolist() == [999, 998, 997, 996, 995] and sum(seen) < 200
+    assert at.tolist() == [999, 998, 997, 996, 995] and sum(seen) < 200
