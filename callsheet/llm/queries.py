@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from callsheet.llm import bpe, languages, manifest, near, packing, quality, secrets, shards, spelling, substrings, suffixes, token_files, topk
+from callsheet.llm import bpe, languages, manifest, near, oracles, packing, quality, secrets, shards, spelling, substrings, suffixes, token_files, topk
 from callsheet.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,4 +99,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL texts of those whose results SQL can express in full."""
+    return oracles.oracle_sql()
