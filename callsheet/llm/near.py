@@ -32,6 +32,8 @@ PAIRS = 1 << 21
 #: Shingles whose samples are drawn together.
 BLOCK = 1 << 14
 
+#: What is kept of a shingle's hash: its upper 48 bits.
+_KEPT = np.uint64(((1 << 64) - 1) ^ ((1 << 16) - 1))
 _SEEDS = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
@@ -41,7 +43,56 @@ def shingles_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = words_of(text or "")
     hashes = hashes_of(words)
     found = stretches(hashes, min(WORDS, len(words)) or 1)
-    return np.unique(found, return_counts=True)
+    return np.unique(found & _KEPT, return_counts=True)
+
+
+#: Bytes of a shingle's hash that are written.
+BYTES = 6
+SHINGLED = "doc_id BIGINT, node BINARY, shingles BINARY, counts BINARY"
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's shingles and how often each comes, packed; null texts have none."""
+    for batch in batches:
+        shingles, counts = [], []
+        for text in batch.column("text").to_pylist():
+            own, n = shingles_of(text)
+            shingles.append(own.view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes())
+            counts.append(b"" if (n == 1).all() else n.astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("node"),
+                pa.array(shingles, pa.binary()),
+                pa.array(counts, pa.binary()),
+            ],
+            names=["doc_id", "node", "shingles", "counts"],
+        )
+
+
+def packed_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The shingles of every text, written; ``node`` is the text's digest."""
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
+        F.unhex(F.md5(F.col(text))).alias("node"),
+    )
+    return materialise(rows.mapInArrow(_shingled, SHINGLED), "shingles")
+
+
+def _unpacked(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, of which the upper bytes were kept, and counts."""
+    flat = np.frombuffer(shingles, np.uint8).reshape(-1, BYTES)
+    whole = np.zeros((len(flat), 8), np.uint8)
+    whole[:, 8 - BYTES :] = flat
+    number = np.frombuffer(counts, np.uint32) if counts else np.ones(len(flat), np.uint32)
+    return whole.view(np.uint64).ravel(), number
+
+
+def _packed_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    columns = (batch.column(c).to_pylist() for c in ("shingles", "counts"))
+    for shingles, counts in zip(*columns, strict=True):
+        yield _unpacked(shingles, counts)
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -54,8 +105,7 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, documents = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            shingles, _ = shingles_of(text)
+        for shingles, _ in _packed_rows(batch):
             if len(shingles):
                 total[np.unique(_bucket(shingles))] += 1
                 documents += 1
@@ -67,7 +117,7 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+def inverse_frequencies(shingled: DataFrame) -> np.ndarray:
     """For each bucket ln(1 + N / (df + N / 10)), over all documents with words.
 
     df is the number of documents with a shingle in the bucket, summed in each
@@ -76,7 +126,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     sink below the words that tell them apart. What comes to the driver is a
     row per bucket, at most 65,537, whatever the data's size.
     """
-    counted = docs.select("text").mapInArrow(_count_buckets, "bucket BIGINT, n BIGINT")
+    counted = shingled.select("shingles", "counts").mapInArrow(_count_buckets, "bucket BIGINT, n BIGINT")
     rows = counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(BUCKETS)
     documents = 1
@@ -144,9 +194,8 @@ def band_keys(drawn: np.ndarray) -> np.ndarray:
 def _signatures(idf: np.ndarray):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keys: list[list[int]] = [[] for _ in texts]
-            marks: list[bytes] = [b""] * len(texts)
+            keys: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            marks: list[bytes] = [b""] * batch.num_rows
             waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
             size = 0
 
@@ -162,8 +211,7 @@ def _signatures(idf: np.ndarray):
                 for (row, *_), own, seen in zip(waiting, signed, mark, strict=True):
                     keys[row], marks[row] = own, seen.tobytes()
 
-            for row, text in enumerate(texts):
-                shingles, counts = shingles_of(text)
+            for row, (shingles, counts) in enumerate(_packed_rows(batch)):
                 if len(shingles):
                     waiting.append((row, shingles, counts * idf[_bucket(shingles)]))
                     size += len(shingles)
@@ -269,7 +317,7 @@ def _compare(idf: np.ndarray):
             earlier = np.ascontiguousarray(bands[:own])
 
         def profile(i: int):
-            shingles, counts = shingles_of(rows[i][3])
+            shingles, counts = _unpacked(*rows[i][3])
             return shingles, (counts * idf[_bucket(shingles)]).astype(np.float64)
 
         links = links_within(marks, profile, len(rows), split, earlier)
@@ -279,9 +327,10 @@ def _compare(idf: np.ndarray):
         group, held = None, []
         for batch in batches:
             found = []
-            names = ("grp", "node", "mark", "text", "side", "bands")
+            names = ("grp", "node", "mark", "side", "bands", "shingles", "counts")
             columns = (batch.column(c).to_pylist() for c in names)
-            for row in zip(*columns, strict=True):
+            for *own, side, bands, shingles, counts in zip(*columns, strict=True):
+                row = (*own, (shingles, counts), side, bands)
                 if row[0] != group:
                     found += resolve(held)
                     group, held = row[0], []
@@ -328,14 +377,10 @@ def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     """``doc_id`` and ``node`` of every row; and for each node its ``least`` key,
     whether it has ``several`` rows, and the ``root`` of its class: the least node
     linked with it, which tells classes apart where their keys do not."""
-    rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.col(text).alias("text"),
-        F.unhex(F.md5(F.col(text))).alias("node"),
-    )
-    idf = inverse_frequencies(rows)
+    shingled = packed_shingles(docs, key, text)
+    idf = inverse_frequencies(shingled)
     signed = materialise(
-        rows.mapInArrow(
+        shingled.mapInArrow(
             _signatures(idf), "doc_id BIGINT, node BINARY, bands ARRAY<BIGINT>, mark BINARY"
         ),
         "signatures",
@@ -362,11 +407,13 @@ def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
         grouped = materialise(normal.union(finer), "finer-groups")
     known = grouped.join(nodes.select("node", "mark", "bands", F.col("doc_id").alias("_first")), "node")
     known = known.withColumn("bands", F.when(F.col("grp").startswith("bucket "), F.col("bands")))
-    wanted = rows.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "text")
+    wanted = shingled.select(
+        F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "shingles", "counts"
+    )
     texts = known.join(
         wanted, (F.col("node") == F.col("_node")) & F.col("_first").eqNullSafe(F.col("_id"))
     )
-    dealt = texts.select("grp", "node", "mark", "text", "side", "bands").repartition("grp")
+    dealt = texts.select("grp", "node", "mark", "side", "bands", "shingles", "counts").repartition("grp")
     links = materialise(
         dealt.sortWithinPartitions("grp", "node").mapInArrow(_compare(idf), "a BINARY, b BINARY"),
         "links",
@@ -387,14 +434,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ``docs``: the least key of all rows whose texts are equal or linked over any
     number of links between texts of weighted Jaccard similarity 0.8 or more.
 
-    1. TF-IDF weights of five-word shingles (``inverse_frequencies``).
+    1. The five-word shingles of each text are written once, as 48 bits of hash, and
+       weighed by TF-IDF (``inverse_frequencies``).
     2. 64 consistent weighted samples of each text, in 16 bands of 4.
     3. Equal texts are one node. Nodes that share a band's bucket are linked to
        the bucket's least node, and the components of these links are the groups
        of candidates; no pairs are made of them. Groups beyond 4,096 texts are
        split into their buckets, and wider buckets into pairs of blocks: the
        texts of a bucket of n are read by n / 3,700 tasks.
-    4. The texts come to their groups, where pairs with enough equal samples are
+    4. The shingles come to their groups, where pairs with enough equal samples are
        verified by weighted Jaccard similarity, unless they are connected already.
     5. The components of the verified links are the classes.
 
@@ -422,7 +470,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One row of each class, that with the least key (null keys last) and of its
     texts the least digest, with all columns as they are. Classes are told apart by
     their links, not by their keys, which may be null or repeated. Rows with null
-    texts are kept, each once for its key."""
+    texts are kept, each once for its key. Of rows equal in key and text the least
+    stays, by their other columns written as JSON."""
     columns = docs.columns
     narrow, rooted = _rooted(docs, key, text)
     least = F.min(F.struct(F.col("least").isNull(), "least", "node", "several"))
@@ -445,7 +494,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.col("_key").eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_node")),
     )
     once = kept.where(~F.col("_again")).select("_row")
-    again = kept.where("_again").groupBy("_id", "_node").agg(F.first("_row").alias("_row"))
+    again = kept.where("_again").groupBy("_id", "_node").agg(
+        F.min_by("_row", F.to_json("_row", {"ignoreNullFields": "false"})).alias("_row")
+    )
     return once.union(again.select("_row")).select(*[F.col("_row")[c].alias(c) for c in columns])
 
 

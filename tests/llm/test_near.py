@@ -53,7 +53,7 @@ def _classes(frame):
 def test_query(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     found = Counter(map(tuple, queries()["op9_minhash_near_dedup"](spark, DATA).collect()))
-    assert found == brute(list(map(tuple, docs.collect())), near.inverse_frequencies(docs))
+    assert found == brute(list(map(tuple, docs.collect())), near.inverse_frequencies(near.packed_shingles(docs)))
 
 
 @pytest.mark.parametrize("group", [4096, 32])
@@ -65,7 +65,7 @@ def test_near_copies_and_odd_rows(frame, odd_rows, monkeypatch, group):
     rows += odd_rows + [rows[3], (5000, rows[3][1]), (None, rows[4][1]), (2, "a b"), (3, "a  b")]
     rows += [(6000, ""), (6001, None), (100, "another text with the same key as a near copy")]
     docs = frame(rows)
-    assert _classes(docs) == brute(rows, near.inverse_frequencies(docs))
+    assert _classes(docs) == brute(rows, near.inverse_frequencies(near.packed_shingles(docs)))
 
 
 def template_pages(n, pairs, seed=7):
@@ -85,7 +85,7 @@ def test_wide_buckets_are_compared_in_full(frame, monkeypatch):
     monkeypatch.setattr(near, "PAIRS", 50, raising=False)
     rows = list(enumerate(template_pages(120, 40)))
     docs = frame(rows + rows[:30])
-    idf = near.inverse_frequencies(docs)
+    idf = near.inverse_frequencies(near.packed_shingles(docs))
     wanted = brute(rows + rows[:30], idf)
     assert len({c for _, c in wanted}) == 80  # the pairs, and nothing else, are linked
     assert _classes(docs) == wanted
@@ -112,7 +112,7 @@ def test_pairs_that_share_one_wide_band_only(frame, monkeypatch):
     monkeypatch.setattr(near, "GROUP", 8)
     rows = list(enumerate(template_pages(40, 12)))
     docs = frame(rows)
-    wanted = brute(rows, near.inverse_frequencies(docs))
+    wanted = brute(rows, near.inverse_frequencies(near.packed_shingles(docs)))
     assert len({c for _, c in wanted}) < 40
     assert _classes(docs) == wanted
 
