@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callsheet.llm.tokens import texts, word_ids
@@ -73,6 +74,14 @@ class TokenFile:
         self.sink.close()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The URI of a path on the file system that Spark would find it on: one without a
+    scheme is on the default one, not on each executor's own disk."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
 def open_token_file(uri: str) -> pa.ipc.RecordBatchFileReader:
     """A reader of any batch; a local file is mapped, not read."""
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
@@ -106,8 +115,7 @@ def write_token_files(
     first; rows with one key follow their text's hash, repeated rows stay; no
     rows give no files. Other columns are not read.
     """
-    folder = f"{workspace(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(docs.sparkSession, f"{workspace(docs.sparkSession)}/token-files-{uuid.uuid4().hex}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(vocabulary)

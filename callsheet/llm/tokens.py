@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ class WordIds(dict):
     occurrences. Stretches that are normal already skip the library's
     normaliser, which would only lower their letters; the merges are always the
     library's.
-    Stretches with a special token's text go through the library whole.
+    Stretches with a special token's text, or with a character that Python's tables
+    do not name, go through the library whole.
     """
 
     #: The vocabulary's own split pattern.
@@ -57,7 +58,7 @@ class WordIds(dict):
         self.written = [whole[i : i + 4] for i in range(0, len(whole), 4)]
 
     def __missing__(self, word: str) -> bytes:
-        if any(token in word for token in self.special):
+        if any(token in word for token in self.special) or self.unknown(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             found = np.array(ids, "<u4").tobytes()
         elif word.isascii() and word.isprintable():
@@ -73,6 +74,12 @@ class WordIds(dict):
             self[word] = found
         return found
 
+    @staticmethod
+    def unknown(word: str) -> bool:
+        """Whether a character may be newer than Python's tables, which the library's
+        may know."""
+        return not word.isascii() and any(category(c) == "Cn" for c in word)
+
     def joined(self, pieces: list[str]) -> bytes:
         return self.piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
 

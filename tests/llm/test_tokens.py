@@ -32,6 +32,29 @@ def test_ids_are_the_library_s(library):
         assert [*np.frombuffer(ids_of.encode(text), "<u4"), 1] == library(text), repr(text)
 
 
+def test_every_code_point_is_the_library_s(library):
+    """In words of letters, digits and marks; also those Python's tables do not name."""
+    ids_of = WordIds(PATH)
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    some = [c for c in points if c < 0x3000 or c % 37 == 0 or 0x10D40 <= c < 0x10D90]
+    for c in some:
+        text = f"a{chr(c)}b{chr(c)} 1{chr(c)}"
+        assert [*np.frombuffer(ids_of.encode(text), "<u4"), 1] == library(text), hex(c)
+
+
+def test_a_folder_without_a_scheme_is_on_spark_s_file_system(spark):
+    assert token_files.qualified(spark, "/some/folder") == "file:///some/folder"
+    assert token_files.qualified(spark, "file:/some/folder") == "file:///some/folder"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:  # a default file system of another name
+        conf.set("fs.defaultFS", "viewfs://store/")
+        conf.set("fs.viewfs.mounttable.store.link./some", "file:///tmp")
+        assert token_files.qualified(spark, "/some/folder") == "viewfs://store/some/folder"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_memory_of_words_is_bounded(monkeypatch, library):
     monkeypatch.setattr("callsheet.llm.tokens.REMEMBERED", 5)
     ids_of = WordIds(PATH)
