@@ -15,7 +15,7 @@ from callsheet.llm.words import mixed, sliding, stretches
 from callsheet.session import materialise, workspace
 
 #: Bytes of a window; of a gram; places of which the least gram is a cut.
-WINDOW, GRAM, SPAN = 400, 16, 160
+WINDOW, GRAM, SPAN = 400, 16, 128
 #: Bytes of texts, and rows, that a task gathers before it hands them on.
 GATHERED_BYTES, GATHERED_ROWS = 32 << 20, 400_000
 
@@ -50,6 +50,20 @@ def _texts_of(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
+def _lists(batch: pa.RecordBatch, name: str) -> Iterator[dict[str, np.ndarray]]:
+    """A column of lists of structs as a row's arrays, of the entries that are its
+    text's own (texts of one hash share them)."""
+    lists = batch.column(name)
+    items, offsets = lists.values, np.asarray(lists.offsets)
+    fields = {f.name: items.field(f.name).to_numpy() for f in items.type}
+    missing = lists.is_null().to_numpy(zero_copy_only=False)
+    own = zip(batch.column("u").to_pylist(), offsets[:-1], offsets[1:], missing, strict=True)
+    for u, start, end, none in own:
+        here = np.arange(start, start if none else end)
+        here = here[fields["u"][here] == u]
+        yield {name: values[here] for name, values in fields.items() if name != "u"}
+
+
 DISTINCT = "t BIGINT, t2 BIGINT, n_bytes INT, packed BINARY, ids ARRAY<BIGINT>"
 STORED = "t BIGINT, u INT, weight INT, n_bytes INT, packed BINARY, ids ARRAY<BIGINT>"
 
@@ -240,8 +254,8 @@ def coming_twice(rows: DataFrame, keys: list[str], refs: str) -> DataFrame:
 
 
 def cuts_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The grams' hashes by place, the least of each 160 of them, and the cuts: the
-    places whose gram is the least of some 160. What a text is around a cut decides
+    """The grams' hashes by place, the least of each 128 of them, and the cuts: the
+    places whose gram is the least of some 128. What a text is around a cut decides
     on it, so equal strings have equal cuts, but for those near their ends."""
     grams = stretches(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), GRAM)
     least = sliding(grams, SPAN, np.minimum)
@@ -290,7 +304,7 @@ def _settled(at: np.ndarray, grams: np.ndarray, cuts: np.ndarray, value: np.ndar
     return at
 
 
-def cells_of(text: bytes, found: list[int]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+def cells_of(text: bytes, found: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     """The cuts of a text, and its cells: stretches of windows (first, number less
     one) that have the same first and last cut (their numbers) of those that the
     window itself decides on, where the first is in ``found``. Only such windows can
@@ -343,9 +357,10 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("t", "u", "weight", "found"))
-        for t, u, weight, found, text in zip(*columns, _texts_of(batch), strict=True):
-            cuts, cells = cells_of(text, [f["i"] for f in found if f["u"] == u])
+        columns = (batch.column(c).to_pylist() for c in ("t", "u", "weight"))
+        lists = _lists(batch, "found")
+        for t, u, weight, found, text in zip(*columns, lists, _texts_of(batch), strict=True):
+            cuts, cells = cells_of(text, found["i"])
             open_span = None
             for at, more, a, b in cells:
                 lead = int(cuts[a]) - at
@@ -378,17 +393,15 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         contents: list[bytes] = []
         held = []
-        columns = (batch.column(c).to_pylist() for c in ("t", "u", "cells"))
-        for t, u, cells, text in zip(*columns, _texts_of(batch), strict=True):
-            own = [c for c in cells if c["u"] == u]
-            if not own:
+        columns = (batch.column(c).to_pylist() for c in ("t", "u"))
+        for t, u, cells, text in zip(*columns, _lists(batch, "cells"), _texts_of(batch), strict=True):
+            if not len(cells["first"]):
                 continue
             cuts = cuts_of(text)[2]
             used, heavy = np.zeros((2, len(cuts) + 1), np.int64)
-            for c in own:
-                for step in (used, heavy) if c["total"] > 1 else (used,):
-                    step[c["first"]] += 1
-                    step[c["last"]] -= 1
+            for step, some in ((used, slice(None)), (heavy, cells["total"] > 1)):
+                np.add.at(step, cells["first"][some], 1)
+                np.add.at(step, cells["last"][some], -1)
             i = np.flatnonzero(np.cumsum(used) > 0)
             size = np.minimum(np.searchsorted(cuts, cuts[i + 1] + WINDOW) - i, len(cuts) - 1 - i)
             weight = (np.cumsum(heavy)[i] > 0) + 1
@@ -446,16 +459,15 @@ WINDOWS = "g1 BIGINT, g2 BIGINT, weight INT, asks BOOLEAN, t BIGINT, u INT, at I
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("t", "u", "cells"))
+        columns = (batch.column(c).to_pylist() for c in ("t", "u"))
         digests: list[bytes] = []
         rows, counts = [], []
-        for t, u, cells, text in zip(*columns, _texts_of(batch), strict=True):
-            for cell in cells:
-                if cell["u"] == u:
-                    at, more = cell["at"], cell["more"]
-                    digests += [_digest(text[p : p + WINDOW]) for p in range(at, at + more + 1)]
-                    rows.append((cell["total"], t, u, at))
-                    counts.append(more + 1)
+        for t, u, cells, text in zip(*columns, _lists(batch, "cells"), _texts_of(batch), strict=True):
+            own = zip(*(cells[c].tolist() for c in ("at", "more", "total")), strict=True)
+            for at, more, total in own:
+                digests += [_digest(text[p : p + WINDOW]) for p in range(at, at + more + 1)]
+                rows.append((total, t, u, at))
+                counts.append(more + 1)
         if rows:
             total, t, u, at = (np.repeat(np.array(c, np.int64), counts) for c in zip(*rows, strict=True))
             inner = np.concatenate([np.arange(n) for n in counts])
@@ -480,16 +492,14 @@ RESULT = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        columns = (batch.column(c).to_pylist() for c in ("u", "ids", "repeated"))
-        for u, ids, found, text in zip(*columns, _texts_of(batch), strict=True):
+        lists = _lists(batch, "repeated")
+        for ids, repeated, text in zip(batch.column("ids").to_pylist(), lists, _texts_of(batch), strict=True):
             removed = spans = 0
             kept = text
-            repeated = [r for r in found or () if r["u"] == u]
-            if repeated:
-                step = np.zeros(len(text) + 1, np.int64)
-                at = np.array([r["at"] for r in repeated], np.int64)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + [r["more"] + WINDOW for r in repeated], -1)
+            at = repeated["at"].astype(np.int64)
+            if len(at):
+                step = np.bincount(at, minlength=len(text) + 1)
+                step -= np.bincount(at + repeated["more"] + WINDOW, minlength=len(text) + 1)
                 gone = np.cumsum(step[:-1]) > 0
                 removed = int(gone.sum())
                 spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
@@ -519,7 +529,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A suffix array of all bytes would be many times as large as the texts, so it is
     sparse: only suffixes at cuts (``cuts_of``) are ranked, a few in each window.
 
-    1. Every window holds the 241 bytes behind its first cut. Cuts behind which these
+    1. Every window holds the 273 bytes behind its first cut. Cuts behind which these
        come once, by their 64-bit hash, bear no repeats.
     2. The other windows are in cells: stretches of windows with the same first and
        last cut. Cells that are equal in all their bytes (128 bits of hash) have only

@@ -147,6 +147,21 @@ def test_a_fold_leaves_other_buckets_and_survives_its_own_death(spark, tmp_path,
     assert rollup.read().where("who = 7").first()["words"] == 107
 
 
+def test_older_rows_are_never_read_again(spark, tmp_path):
+    rnd = random.Random(6)
+    rollup = StoredRollup(spark, str(tmp_path / "rollup"), ["who"], turn="id")
+    every = []
+    for n in range(3):
+        batch, path = made_turns(rnd, 20, 100 * n), str(tmp_path / f"batch{n}")
+        spark.createDataFrame(batch, TURNS).write.parquet(path)
+        every += batch
+        assert rollup.fold(spark.read.parquet(path), f"batch {n}")
+        for file in Path(path).glob("*"):  # what has been folded is gone
+            file.unlink()
+    whole = rollup_states(spark.createDataFrame(every, TURNS), ["who"], turn="id")
+    assert rows(rollup.read()) == rows(whole.select("who", "words", "turns", "longest.turn"))
+
+
 def test_states_merge_in_any_order(spark):
     rnd = random.Random(5)
     turns = spark.createDataFrame(made_turns(rnd, 40, 0), TURNS)
