@@ -66,6 +66,7 @@ from callsheet.sources import (
     escaped,
     names_with_fragments,
     read_table,
+    read_transcript_source,
     read_transcripts,
     replace_table,
     speaker_words,
@@ -272,6 +273,18 @@ def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def transcript_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``transcript_files``, read by the data source in splits of 20,000 bytes."""
+    path = _written_transcripts(spark, sf_dir, escaped(F.col("text")))
+    found, _ = read_transcript_source(
+        spark, path, part_pattern=r"source_part=(\d+)", escapes=True, split_bytes=20_000
+    )
+    turns = to_turns(found, ROLE_IDS, part_map={1: 4, 2: 5})
+    return turns.groupBy(F.col("part_id").cast("int").alias("part_id"), "from_id", "to_id").agg(
+        F.count("*").alias("turns"), F.sum("word_count").alias("words")
+    )
+
+
 def transcript_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that an ingest of the texts as they are accepts, and rejects by reason.
 
@@ -899,6 +912,7 @@ def queries() -> dict[str, Query]:
         "appended_ids": appended_ids,
         "ingest_turns": ingest_turns,
         "transcript_files": transcript_files,
+        "transcript_splits": transcript_splits,
         "transcript_rejects": transcript_rejects,
         "speaker_words": speaker_word_totals,
         "word_count": word_counts,

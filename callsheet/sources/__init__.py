@@ -14,6 +14,7 @@ from callsheet.sources.tables import (
     replace_table,
     update_partitions,
 )
+from callsheet.sources.transcript_source import read_transcript_source, transcript_source
 from callsheet.sources.transcripts import (
     escaped,
     read_transcripts,
@@ -35,12 +36,14 @@ __all__ = [
     "merged_states",
     "names_with_fragments",
     "read_table",
+    "read_transcript_source",
     "read_transcripts",
     "replace_partitions",
     "replace_table",
     "rollup_states",
     "speaker_words",
     "to_turns",
+    "transcript_source",
     "unescaped",
     "unlisted",
     "update_partitions",

@@ -111,6 +111,20 @@ def _in_turns(lines: DataFrame) -> DataFrame:
     )
 
 
+def turn_columns(escapes: bool) -> tuple[Column, dict[str, Column]]:
+    """What is said, and ``speaker, addressee, direction``, from a turn's first line."""
+    head = F.substring_index("value", ":", 1)
+    after = F.substr(F.col("value"), F.length(head) + 2)
+    spoken = F.regexp_replace(after, "^ ", "") if escapes else F.ltrim(after, F.lit(" \t"))
+    addressee = F.trim(F.regexp_extract(F.regexp_extract(head, BEFORE_COLON, 2), ADDRESSEE, 1))
+    direction = F.trim(F.regexp_extract(head, BEFORE_COLON, 2))
+    return spoken, {
+        "speaker": F.trim(F.regexp_extract(head, BEFORE_COLON, 1)),
+        "addressee": F.when(addressee != "", addressee),
+        "direction": F.when(direction != "", direction),
+    }
+
+
 def read_transcripts(
     spark: SparkSession,
     path: str | list[str],
@@ -143,11 +157,7 @@ def read_transcripts(
     rejects = placed.where(~belongs).select(
         "source_file", "block_start", "line_pos", "value", reason.alias("reject")
     )
-    head = F.substring_index("value", ":", 1)
-    after = F.substr(F.col("value"), F.length(head) + 2)
-    spoken = F.regexp_replace(after, "^ ", "") if escapes else F.ltrim(after, F.lit(" \t"))
-    addressee = F.trim(F.regexp_extract(F.regexp_extract(head, BEFORE_COLON, 2), ADDRESSEE, 1))
-    direction = F.trim(F.regexp_extract(head, BEFORE_COLON, 2))
+    spoken, said = turn_columns(escapes)
     is_head = F.col("kind") == "turn"
     pieces = placed.where(belongs).select(
         "source_file",
@@ -158,9 +168,7 @@ def read_transcripts(
             is_head,
             F.struct(
                 F.col("part_text").cast("int").alias("source_part"),
-                F.trim(F.regexp_extract(head, BEFORE_COLON, 1)).alias("speaker"),
-                F.when(addressee != "", addressee).alias("addressee"),
-                F.when(direction != "", direction).alias("direction"),
+                *[column.alias(name) for name, column in said.items()],
             ),
         ).alias("said"),
     )
