@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,15 @@ def packed_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return materialise(rows.mapInArrow(_shingled, SHINGLED), "shingles")
 
 
+def _forget(written: DataFrame) -> None:
+    """Remove the files of an intermediate that no later step reads."""
+    files = written.inputFiles()
+    if files:
+        spark = written.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(unquote(files[0])).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _unpacked(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, of which the upper bytes were kept, and counts."""
     flat = np.frombuffer(shingles, np.uint8).reshape(-1, BYTES)
@@ -418,6 +428,7 @@ def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
         dealt.sortWithinPartitions("grp", "node").mapInArrow(_compare(idf), "a BINARY, b BINARY"),
         "links",
     )
+    _forget(shingled)  # the links are written, and nothing else reads them
     classes = materialise(components(links, "classes"), "class-roots")
 
     ids = signed.where(F.col("node").isNotNull()).groupBy("node").agg(
