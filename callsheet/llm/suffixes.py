@@ -454,33 +454,32 @@ def doubled_ranks(positions: DataFrame) -> list[DataFrame]:
 # --- windows ---------------------------------------------------------------------------------
 
 
-WINDOWS = "g1 BIGINT, g2 BIGINT, weight INT, asks BOOLEAN, t BIGINT, u INT, at INT"
+WINDOWS = "g1 BIGINT, g2 BIGINT, weight INT, asks BOOLEAN, cell BIGINT, inner INT"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of cells (numbered, so that a window's row is small)."""
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("t", "u"))
         digests: list[bytes] = []
-        rows, counts = [], []
-        for t, u, cells, text in zip(*columns, _lists(batch, "cells"), _texts_of(batch), strict=True):
-            own = zip(*(cells[c].tolist() for c in ("at", "more", "total")), strict=True)
-            for at, more, total in own:
+        held: list[dict[str, np.ndarray]] = []
+        for cells, text in zip(_lists(batch, "cells"), _texts_of(batch), strict=True):
+            for at, more in zip(cells["at"].tolist(), cells["more"].tolist(), strict=True):
                 digests += [_digest(text[p : p + WINDOW]) for p in range(at, at + more + 1)]
-                rows.append((total, t, u, at))
-                counts.append(more + 1)
-        if rows:
-            total, t, u, at = (np.repeat(np.array(c, np.int64), counts) for c in zip(*rows, strict=True))
-            inner = np.concatenate([np.arange(n) for n in counts])
+            held.append(cells)
+        if digests:
+            cell, more, total = (np.concatenate([h[c] for h in held]) for c in ("cell", "more", "total"))
+            ends = np.cumsum(more + 1)
+            inner = np.arange(ends[-1]) - np.repeat(ends - more - 1, more + 1)
+            total = np.repeat(total, more + 1)
             whole = pa.RecordBatch.from_arrays(
                 [
                     *_halves(digests),
                     pa.array(np.minimum(total, 2).astype(np.int32)),
                     pa.array(total == 1),
-                    pa.array(t),
-                    pa.array(u.astype(np.int32)),
-                    pa.array((at + inner).astype(np.int32)),
+                    pa.array(np.repeat(cell, more + 1)),
+                    pa.array(inner.astype(np.int32)),
                 ],
-                names=["g1", "g2", "weight", "asks", "t", "u", "at"],
+                names=["g1", "g2", "weight", "asks", "cell", "inner"],
             )
             for k in range(0, whole.num_rows, 1 << 16):
                 yield whole.slice(k, 1 << 16)
@@ -583,12 +582,17 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     run = ["size", "head", "tail"]
     runs = materialise(runs.select(*run, *TEXT, "at", "more", "total"), "ranked-cells")
     several = materialise(runs.groupBy(*run).agg(F.count("*").alias("cells")).where("cells > 1"), "open-runs")
-    asked = runs.join(several.drop("cells"), run).groupBy("t").agg(
-        F.collect_list(F.struct("u", "at", "more", "total")).alias("cells")
+    asked = runs.join(several.drop("cells"), run).select(
+        F.monotonically_increasing_id().alias("cell"), *TEXT, "at", "more", "total"
+    )
+    asked = materialise(asked, "open-cells")
+    of_text = asked.groupBy("t").agg(
+        F.collect_list(F.struct("u", "cell", "at", "more", "total")).alias("cells")
     )
-    windows = leading.join(asked, "t").mapInArrow(_windows, WINDOWS)
-    hits = coming_twice(windows, ["g1", "g2"], "t BIGINT, u INT, at INT")
-    spans = sure.union(hits.select(*TEXT, "at", F.lit(0).alias("more")))
+    windows = leading.join(of_text, "t").mapInArrow(_windows, WINDOWS)
+    hits = coming_twice(windows, ["g1", "g2"], "cell BIGINT, inner INT")
+    hits = hits.join(asked.select("cell", *TEXT, "at"), "cell")
+    spans = sure.union(hits.select(*TEXT, F.col("at") + F.col("inner"), F.lit(0).alias("more")))
     repeated = spans.groupBy("t").agg(F.collect_list(F.struct("u", "at", "more")).alias("repeated"))
     return texts.join(repeated, "t", "left").mapInArrow(_cut, RESULT)
 
