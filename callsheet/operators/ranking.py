@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +47,7 @@ def nth_row(df: DataFrame, order: Order, n: int | None) -> DataFrame:
             rest -= counts[at]
         else:
             return df.limit(0)
-        now, size = now.where(place == at), counts[at]
+        now, size = now.where(_in_range(now, order, splitters, at)), counts[at]
         if at % 2:  # all of them equal a splitter
             return now.limit(1)
         if size > FEW:
@@ -75,17 +73,57 @@ def _splitters(df: DataFrame, order: Order) -> list[tuple]:
 
 
 def _range_of(df: DataFrame, order: Order, splitters: Sequence[tuple]) -> Column:
-    """2 i for a row between splitters i - 1 and i, 2 i + 1 for one that equals splitter i."""
-    types = [df.schema[c].dataType for c, _ in order]
-    steps = []
-    for values in splitters:
-        later, equal = F.lit(False), F.lit(True)
-        for (name, down), value, kind in reversed(list(zip(order, values, types, strict=True))):
-            column, fixed = F.col(name), F.lit(value).cast(kind)
-            behind = F.lit(False)
-            if value is not None:
-                behind = column.isNull() | ((column < fixed) if down else (column > fixed))
-            same = column.eqNullSafe(fixed)
-            later, equal = behind | (same & later), same & equal
-        steps.append(F.when(later, 2).when(equal, 1).otherwise(0))
-    return reduce(add, steps, F.lit(0))
+    """2 i for a row between splitters i - 1 and i, 2 i + 1 for one that equals splitter i.
+
+    A search by halves in arrays of the splitters: a row is compared six times, and
+    the expression is as short for 63 splitters as for one.
+    """
+    if not splitters:
+        return F.lit(0)
+    kinds = [df.schema[c].dataType for c, _ in order]
+    arrays = [
+        F.array(*[F.lit(v).cast(kind) for v in values])
+        for values, kind in zip(zip(*splitters, strict=True), kinds, strict=True)
+    ]
+
+    def at(place: Column) -> list[Column]:
+        return [F.get(array, place) for array in arrays]
+
+    def halve(found: Column, step: Column) -> Column:
+        later, equal = _against(order, at(found + step - 1))
+        return F.when((found + step <= len(splitters)) & (later | equal), found + step).otherwise(found)
+
+    halves = [F.lit(1 << i) for i in reversed(range(len(splitters).bit_length()))]
+    # splitters up to the row, equal ones included; a row of NULLs comes behind them all
+    found = F.aggregate(F.array(*halves), F.lit(0), halve)
+    return F.transform(F.array(found), lambda f: 2 * f - _against(order, at(f - 1))[1].cast("int"))[0]
+
+
+def _in_range(df: DataFrame, order: Order, splitters: Sequence[tuple], place: int) -> Column:
+    """Whether a row is in that range: against the one or two splitters beside it."""
+    kinds = [df.schema[c].dataType for c, _ in order]
+
+    def against(i: int) -> tuple[Column, Column]:
+        return _against(order, [F.lit(v).cast(kind) for v, kind in zip(splitters[i], kinds, strict=True)])
+
+    i = place // 2
+    if place % 2:
+        return against(i)[1]
+    inside = F.lit(True)
+    if i > 0:
+        inside = against(i - 1)[0]
+    if i < len(splitters):
+        later, equal = against(i)
+        inside = inside & ~(later | equal)
+    return inside
+
+
+def _against(order: Order, values: Sequence[Column]) -> tuple[Column, Column]:
+    """Whether a row comes later than the one of these values, and whether it equals it."""
+    later, equal = F.lit(False), F.lit(True)
+    for (name, down), value in reversed(list(zip(order, values, strict=True))):
+        column = F.col(name)
+        behind = value.isNotNull() & (column.isNull() | ((column < value) if down else (column > value)))
+        same = column.eqNullSafe(value)
+        later, equal = behind | (same & later), same & equal
+    return later, equal

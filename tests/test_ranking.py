@@ -60,3 +60,23 @@ def test_many_equal_rows_end_the_search(spark, tight):
     assert nth_row(df.limit(0), order, 1).isEmpty()
     nulls = df.select(F.lit(None).cast("int").alias("score"))
     assert nth_row(nulls, order, 400).first()[0] is None
+
+
+def test_a_range_is_found_by_few_comparisons(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, *range(12)]), rnd.choice([None, *"abcdefgh"])) for _ in range(400)]
+    df, order = spark.createDataFrame(rows, "a INT, b STRING"), [("a", True), ("b", False)]
+    places = ordered(sorted(set(rows), key=str), [(1, False)])
+    places = ordered(places, [(0, True)])
+    for splitters in ([], places[40:41], places[:2], places[-5:], places[::2][:63]):
+        place = ranking._range_of(df, order, splitters)
+        assert str(place).count(">") < 20
+        found = {}
+        for a, b, at in df.select("a", "b", place).collect():
+            before = sum(places.index(s) < places.index((a, b)) for s in splitters)
+            assert at == 2 * before + ((a, b) in splitters)
+            found.setdefault(at, []).append((a, b))
+        for at in (0, 1, 2, 37, 2 * len(splitters)):
+            if at <= 2 * len(splitters):
+                inside = df.where(ranking._in_range(df, order, splitters, at)).collect()
+                assert sorted(map(str, map(tuple, inside))) == sorted(map(str, found.get(at, [])))
