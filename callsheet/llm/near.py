@@ -30,6 +30,8 @@ BUCKETS = 1 << 16
 GROUP = 4096
 #: Pairs that are held at a time.
 PAIRS = 1 << 21
+#: Bits of a filter for each of its nodes, and bits of a filter at most.
+FILTER_BITS, MOST_BITS = 16, 1 << 27
 #: Shingles whose samples are drawn together.
 BLOCK = 1 << 14
 
@@ -383,6 +385,34 @@ def _refined(entries: DataFrame) -> DataFrame:
     )
 
 
+def _passing(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``rows`` whose node is one of ``nodes`` (distinct), and one in 16 or so of
+    the others: a filter for what is too wide to be shuffled before a join with them.
+
+    The filter has a bit for each place that a node's hash may take. It is put together
+    in Spark from pieces of 32,768 bits; 16 MB at most come to the driver and are
+    broadcast. Beyond 8 million nodes it has fewer bits for each and lets more pass.
+    """
+    size = min(MOST_BITS, max(1 << 15, -(-FILTER_BITS * nodes.count() // (1 << 15)) << 15))
+    place = F.pmod(F.xxhash64("node"), F.lit(size))
+    pieces = (
+        nodes.select(F.shiftright(place, 15).alias("piece"), (place % (1 << 15)).alias("bit"))
+        .groupBy("piece")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    filled = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for row in pieces.toLocalIterator():
+        filled[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(filled.ravel())
+
+    @F.arrow_udf("boolean")
+    def passes(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        return pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    return rows.where(passes(place))
+
+
 def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """``doc_id`` and ``node`` of every row; and for each node its ``least`` key,
     whether it has ``several`` rows, and the ``root`` of its class: the least node
@@ -417,7 +447,7 @@ def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
         grouped = materialise(normal.union(finer), "finer-groups")
     known = grouped.join(nodes.select("node", "mark", "bands", F.col("doc_id").alias("_first")), "node")
     known = known.withColumn("bands", F.when(F.col("grp").startswith("bucket "), F.col("bands")))
-    wanted = shingled.select(
+    wanted = _passing(shingled, groups).select(
         F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "shingles", "counts"
     )
     texts = known.join(
@@ -453,7 +483,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
        of candidates; no pairs are made of them. Groups beyond 4,096 texts are
        split into their buckets, and wider buckets into pairs of blocks: the
        texts of a bucket of n are read by n / 3,700 tasks.
-    4. The shingles come to their groups, where pairs with enough equal samples are
+    4. The shingles of texts in groups (told by a filter, ``_passing``, before they are
+       shuffled) come to their groups, where pairs with enough equal samples are
        verified by weighted Jaccard similarity, unless they are connected already.
     5. The components of the verified links are the classes.
 

@@ -128,6 +128,35 @@ def test_links_across_two_blocks_only():
     assert set(near.links_within(marks[:3], profile, 3, 0, bands[:, :3])) == {(0, 1), (1, 2)}
 
 
+def test_only_shingles_of_candidates_are_shuffled(frame, monkeypatch):
+    rnd = random.Random(5)
+    rows = list(enumerate(near_copies(20, most_edits=3)))
+    rows += [(1000 + i, " ".join(f"r{rnd.randrange(10**6)}" for _ in range(60))) for i in range(400)]
+    rows += [(2000, None), (2001, "")]
+    met, passing = [], near._passing
+
+    def seen(wide, nodes):
+        found = passing(wide, nodes)
+        own = [df.join(nodes, "node", "left_semi").count() for df in (wide, found)]
+        met.append((wide.count(), nodes.count(), found.count(), own))
+        return found
+
+    monkeypatch.setattr(near, "_passing", seen)
+    docs = frame(rows)
+    assert _classes(docs) == brute(rows, near.inverse_frequencies(near.packed_shingles(docs)))
+    every, candidates, passed, own = met[0]
+    assert every == 422 and 0 < candidates <= own[0] == own[1] <= passed < 80
+
+
+def test_a_filter_that_is_too_small_loses_nothing(frame, monkeypatch):
+    monkeypatch.setattr(near, "MOST_BITS", 1 << 15)
+    docs = frame([(i, f"text {i}") for i in range(5000)])
+    rows = near.packed_shingles(docs)
+    nodes = rows.where("doc_id % 2 = 0").select("node")
+    passed = {r.doc_id for r in near._passing(rows, nodes).collect()}
+    assert passed >= set(range(0, 5000, 2)) and len(passed) < 3200
+
+
 def test_keep_one(frame, odd_rows):
     rows = odd_rows + [(i, t) for i, t in enumerate(near_copies(30, most_edits=3), 100)]
     docs = frame(rows).withColumnRenamed("size", "node").withColumnRenamed("_text", "class_id")
