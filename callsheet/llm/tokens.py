@@ -51,17 +51,19 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)").search
         self.pieces: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         whole = np.arange(size, dtype="<u4").tobytes()
         self.written = [whole[i : i + 4] for i in range(0, len(whole), 4)]
 
     def __missing__(self, word: str) -> bytes:
-        if any(token in word for token in self.special) or self.unknown(word):
+        plain = word.isascii()
+        if self.special(word) or not plain and self.unknown(word):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
             found = np.array(ids, "<u4").tobytes()
-        elif word.isascii() and word.isprintable():
+        elif plain and word.isprintable():
             found = self.joined(self.ASCII_PIECES.findall(word.lower()))
         elif is_normalized("NFC", word) and not self.LOWERED_BY_PLACE.search(word):
             found = self.joined(self.PIECES.findall(word.lower()))
