@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsheet.llm.common import ordered_prefixes
-from callsheet.llm.tokens import texts, word_ids
+from callsheet.llm.tokens import word_ids
 from callsheet.session import materialise
 
 PIECE = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
@@ -31,14 +31,17 @@ def token_pieces(
     """Ids of whole texts with the end id, cut only where longer than ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
+        ids_of = word_ids(vocabulary)
         for batch in batches:
-            rows = []
-            for doc, value in zip(batch.column("doc_id").to_pylist(), texts(batch, "text")):
-                ids = ids_of.encode(value) + end
-                for number, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, number, at // 4, len(part) // 4, zlib.crc32(part)))
+            rows, docs_here = [], iter(batch.column("doc_id").to_pylist())
+            for found, sizes in ids_of.of_texts(batch.column("text")):
+                ends = np.cumsum(sizes + 1).tolist()
+                every = memoryview(np.insert(found, np.cumsum(sizes), end_id).tobytes())
+                for start, stop in zip([0, *ends], ends):
+                    doc = next(docs_here)
+                    for number, at in enumerate(range(start, stop, capacity)):
+                        part = every[4 * at : 4 * min(at + capacity, stop)]
+                        rows.append((doc, number, at - start, len(part) // 4, zlib.crc32(part)))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(

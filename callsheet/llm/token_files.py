@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callsheet.llm.tokens import texts, word_ids
+from callsheet.llm.tokens import word_ids
 from callsheet.session import materialise, workspace
 
 #: Ids in a sequence, and sequences in a record batch.
@@ -121,20 +121,17 @@ def write_token_files(
         ids_of = word_ids(vocabulary)
         size = max(ids_of.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         id_type = pa.uint16() if size <= 1 << 16 else pa.uint32()
-        end = np.array([end_id], "<u4")
         part = TaskContext.get().partitionId()
         uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
         file, at, place = None, 0, 0
         for batch in batches:
             if file is None and batch.num_rows:
                 file = TokenFile(uri, id_type)
-            counts = []
-            for value in texts(batch, "text"):
-                ids = np.frombuffer(ids_of.encode(value), "<u4")
-                file.add(ids)
-                file.add(end)
-                counts.append(len(ids) + 1)
-            n = np.array(counts, np.int64)
+            counts = [np.empty(0, np.int64)]
+            for ids, sizes in ids_of.of_texts(batch.column("text")):
+                file.add(np.insert(ids, np.cumsum(sizes), end_id))
+                counts.append(sizes + 1)
+            n = np.concatenate(counts)
             starts = at + np.cumsum(n) - n
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(

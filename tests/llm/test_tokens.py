@@ -42,6 +42,44 @@ def test_every_code_point_is_the_library_s(library):
         assert [*np.frombuffer(ids_of.encode(text), "<u4"), 1] == library(text), hex(c)
 
 
+def _of_texts(ids_of, texts, kind=None):
+    found = []
+    for ids, sizes in ids_of.of_texts(pa.array(texts, kind or pa.string())):
+        found += [part.tolist() + [1] for part in np.split(ids, np.cumsum(sizes)[:-1])]
+    return found
+
+
+@pytest.mark.parametrize("portion, kind", [(1, pa.string()), (60, pa.large_string()), (8 << 20, pa.string())])
+def test_ids_of_many_texts_are_the_library_s(monkeypatch, library, portion, kind):
+    monkeypatch.setattr("callsheet.llm.tokens.PORTION", portion)
+    rnd = random.Random(8)
+    marks = [*" \n\t\r\v\f\x1c\x00aZ", *"ÀÞ×÷ßÿªµİſK\u0301\u00a0\u3000É日'.,)`-_9", "'re", "Ça", "<|endoftext|>", "THE, "]
+    texts = ["".join(rnd.choice(marks) for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    texts += [None, "", " ", "\n \n", "x" * 5000, "Été" * 3000 + "...", None, "<|startoftext|>,", ""]
+    assert _of_texts(WordIds(PATH), texts, kind) == [library(t) for t in texts]
+    for few in ([], [None], ["", ""], ["\n"]):
+        assert _of_texts(WordIds(PATH), few, kind) == [library(t) for t in few]
+
+
+def test_words_of_many_texts_are_looked_up_once(library):
+    asked = []
+
+    class Counted(WordIds):
+        def piece(self, piece):
+            asked.append(piece)
+            return super().piece(piece)
+
+        def __missing__(self, word):
+            asked.append(word)
+            return super().__missing__(word)
+
+    words = [f"{w}{m}" for w in ("the", "The", "THE", "été", "Été") for m in ("", ",", ".", "...", '."')]
+    texts = [" ".join(words)] * 500
+    ids_of = Counted(PATH)
+    assert _of_texts(ids_of, texts) == [library(t) for t in texts]
+    assert sorted(asked) == sorted(["the", "été", ",", ".", "...", '."'])
+
+
 def test_a_folder_without_a_scheme_is_on_spark_s_file_system(spark):
     assert token_files.qualified(spark, "/some/folder") == "file:///some/folder"
     assert token_files.qualified(spark, "file:/some/folder") == "file:///some/folder"
