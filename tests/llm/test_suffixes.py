@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -98,3 +100,13 @@ def test_odd_rows_copies_and_no_rows(spark, frame, odd_rows):
     rows += [(100 + i, "one text of many copies " * 30) for i in range(200)]
     assert found(spark, frame, rows) == brute(rows)
     assert suffixes.digests(frame([])).count() == 0
+
+
+def test_a_task_holds_few_texts_of_a_batch():
+    texts = [f"{n} ".encode() * 1000 for n in range(4000)]
+    batch = pa.record_batch([pa.array(range(4000)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in suffixes._distinct(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and most < batch.nbytes / 3
